@@ -83,7 +83,7 @@ def dedup_against_existing(spark, sf):
 @query("replace_document_chunks", sql=with_ctes("chunks") + """
     SELECT chunk_id, document_id, content FROM chunks WHERE document_id % 7 <> 0
     UNION ALL
-    SELECT chunk_id, document_id, upper(content) FROM chunks WHERE document_id % 7 = 0 AND document_id % 14 <> 0""")
+    SELECT chunk_id, document_id, content || '!' FROM chunks WHERE document_id % 7 = 0 AND document_id % 14 <> 0""")
 def replace_document_chunks(spark, sf):
     """Every seventh document is rebuilt; every second rebuild fails."""
     return _replaced(spark, sf)[0]
@@ -103,7 +103,7 @@ def _replaced(spark, sf):
     touched = chunks.where(doc() % 7 == 0)
     outcomes = touched.select("document_id").distinct().withColumn(
         "error", F.when(doc() % 14 == 0, F.repeat(F.lit("x"), F.lit(600))))
-    return ingest.replace_document_chunks(chunks, touched.withColumn("content", F.upper("content")), outcomes)
+    return ingest.replace_document_chunks(chunks, touched.withColumn("content", F.concat("content", F.lit("!"))), outcomes)
 
 
 @query("delete_documents", sql=with_ctes("docs") + """
