@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from docweave.functions import text as tx
+from docweave.operators.access import Scope
 from docweave.operators.units import parse_rows
 from docweave.runtime import salted_join
 
@@ -98,10 +99,8 @@ def or_terms(questions: DataFrame, terms: Column) -> DataFrame:
     return questions.select("query_id", F.explode(F.slice(terms, 1, MAX_QUERY_TERMS)).alias("term"))
 
 
-def in_scope(hits: DataFrame, scope: DataFrame | None) -> DataFrame:
-    """Keep hits whose document is in the explicit scope of their question."""
-    return hits if scope is None else salted_join(
-        hits, scope.select("query_id", "document_id").distinct(), ["query_id", "document_id"], "left_semi", "chunk_id")
+def in_scope(hits: DataFrame, scope: Scope | None) -> DataFrame:
+    return hits if scope is None else scope.keep(hits)
 
 
 def weighted_terms(terms: DataFrame, index: LexicalIndex) -> DataFrame:
@@ -112,7 +111,7 @@ def weighted_terms(terms: DataFrame, index: LexicalIndex) -> DataFrame:
         "query_id", "term", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
 
 
-def term_hits(terms: DataFrame, index: LexicalIndex, scope: DataFrame | None = None) -> DataFrame:
+def term_hits(terms: DataFrame, index: LexicalIndex, scope: Scope | None = None) -> DataFrame:
     """One scored row per (question, chunk, term).
 
     The question side is small and repeated over salts; the postings of a hot term spread by chunk.
@@ -132,7 +131,7 @@ def top_per_query(hits: DataFrame, k: int, *order: Column, name: str = "rank") -
 
 
 
-def bm25_search(terms: DataFrame, index: LexicalIndex, k: int, scope: DataFrame | None = None) -> DataFrame:
+def bm25_search(terms: DataFrame, index: LexicalIndex, k: int, scope: Scope | None = None) -> DataFrame:
     """OR search: (query_id, chunk_id, document_id, score, rank)."""
     scored = term_hits(terms, index, scope).groupBy("query_id", "chunk_id", "document_id").agg(F.sum("share").alias("score"))
     return top_per_query(scored, min(MAX_HITS, k), F.round("score", 9).desc(), F.col("chunk_id"))
@@ -148,12 +147,12 @@ def live_terms(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("_n")).select("query_id", "term")
 
 
-def _title_hits(terms: DataFrame, titles: DataFrame, scope: DataFrame | None) -> DataFrame:
+def _title_hits(terms: DataFrame, titles: DataFrame, scope: Scope | None) -> DataFrame:
     hits = salted_join(titles, terms.select("query_id", "term"), ["term"], "inner", "document_id")
-    return hits if scope is None else hits.join(scope.select("query_id", "document_id").distinct(), ["query_id", "document_id"], "left_semi")
+    return in_scope(hits, scope)
 
 
-def broad_title_questions(live: DataFrame, titles: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+def broad_title_questions(live: DataFrame, titles: DataFrame, scope: Scope | None = None) -> DataFrame:
     """Questions whose live terms are all contained in more than one document title."""
     needed = live.groupBy("query_id").agg(F.count(F.lit(1)).alias("_need"))
     full = (_title_hits(live, titles, scope).groupBy("query_id", "document_id").agg(F.count(F.lit(1)).alias("_have"))
@@ -161,7 +160,7 @@ def broad_title_questions(live: DataFrame, titles: DataFrame, scope: DataFrame |
     return full.groupBy("query_id").agg(F.count(F.lit(1)).alias("titles")).where(F.col("titles") > 1)
 
 
-def identifier_search(terms: DataFrame, index: LexicalIndex, k: int, scope: DataFrame | None = None,
+def identifier_search(terms: DataFrame, index: LexicalIndex, k: int, scope: Scope | None = None,
                       titles: DataFrame | None = None, forced_title: DataFrame | None = None) -> DataFrame:
     """AND search over live identifiers, with the title guard and the title fallback.
 
@@ -252,20 +251,23 @@ def filename_mentions(texts: pd.Series) -> pd.Series:
     return texts.map(mentions)
 
 
-def filename_scope(questions: DataFrame, scope: DataFrame, documents: DataFrame) -> DataFrame:
+def filename_scope(questions: DataFrame, scope: Scope, documents: DataFrame) -> Scope:
     """Narrow the scope of questions that name files.
 
-    ``scope`` holds (query_id, document_id). A question that names an unknown file keeps nothing.
+    A question that names an unknown or invisible file keeps nothing, it never falls back.
     """
     names = documents.select("document_id", tx.normal_filename("filename").alias("name"))
     wanted = questions.select("query_id", filename_mentions("text").alias("_names")).where(F.size("_names") > 0)
     pairs = wanted.select("query_id", F.size("_names").alias("_n"), F.explode("_names").alias("name"))
-    matches = pairs.join(names, "name").join(scope.select("query_id", "document_id").distinct(), ["query_id", "document_id"], "left_semi")
+    matches = scope.keep(pairs.join(names, "name"))
     complete = (matches.groupBy("query_id", "_n").agg(F.countDistinct("name").alias("_found"))
                 .where(F.col("_found") == F.col("_n")).select("query_id"))
     narrowed = matches.join(complete, "query_id", "left_semi").select("query_id", "document_id").distinct()
-    untouched = scope.select("query_id", "document_id").join(wanted.select("query_id"), "query_id", "left_anti")
-    return untouched.unionByName(narrowed)
+    naming = wanted.select("query_id", F.lit(True).alias("_naming"))
+    queries = scope.queries.join(naming, "query_id", "left").select(
+        "query_id", "see_all", (F.col("has_request") | F.col("_naming").isNotNull()).alias("has_request"))
+    untouched = scope.requested.join(naming, "query_id", "left_anti")
+    return Scope(queries, scope.documents, scope.granted, untouched.unionByName(narrowed))
 
 
 # --- table headers --------------------------------------------------------------------------
