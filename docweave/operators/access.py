@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave.functions import text as tx
-from docweave.runtime import salted_join
+from docweave.runtime import materialize, salted_join
 from docweave.sources.metadata import source_type
 
 ADMIN_ROLES = ("root", "kb_admin")
@@ -116,8 +116,9 @@ def effective_scope(questions: DataFrame, users: DataFrame, documents: DataFrame
                .select("query_id", "user_id", F.coalesce("see_all", F.lit(False)).alias("see_all"),
                        F.coalesce("has_request", F.lit(False)).alias("has_request")))
     granted = granted_documents(users, grants, members).join(queries.where(~F.col("see_all")).select("query_id", "user_id"), "user_id")
-    return Scope(queries.drop("user_id"), documents.select("document_id", is_shared().alias("shared")),
-                 granted.select("query_id", "document_id"), requested.select("query_id", "document_id").distinct())
+    # Every search step filters by the same scope.
+    return Scope(materialize(queries.drop("user_id")), materialize(documents.select("document_id", is_shared().alias("shared"))),
+                 materialize(granted.select("query_id", "document_id")), materialize(requested.select("query_id", "document_id").distinct()))
 
 
 def requested_scope(scope: Scope) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docweave.functions import text as tx
 from docweave.functions.matching import contained_terms
+from docweave.runtime import persist
 
 # Column labels per role, time units and patterns of the definitions.
 COLUMN_LABELS = {
@@ -103,7 +104,8 @@ def table_lookup(questions: DataFrame, cells: DataFrame) -> DataFrame:
     status: answer, or clarification when several names match or the index disagrees; ``differing``
     marks records that do not agree, all of which are listed.
     """
-    records = table_records(cells, bind_headers(cells))
+    cells = persist(cells)
+    records = persist(table_records(cells, bind_headers(cells)))
     row_key = ["document_id", "sheet", "row", "chunk_id"]
     names = records.where("role = 'name'").select(*row_key, tx.ascii_lower(F.trim("value")).alias("term"), F.trim("value").alias("_name")).where(F.length("term") >= 3)
     number = F.array_distinct(tx.extract_all("text", PARAMETER_NUMBER, 1))

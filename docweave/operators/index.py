@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from docweave.functions import text as tx
 from docweave.operators.access import Scope
 from docweave.operators.units import parse_rows
-from docweave.runtime import salted_join
+from docweave.runtime import materialize, salted_join
 
 K1, B = 1.2, 0.75
 MAX_QUERY_TERMS = 256
@@ -48,11 +48,15 @@ def build_index(chunks: DataFrame, terms: Column | None = None) -> LexicalIndex:
     rows = chunks.select("chunk_id", "document_id", terms.alias("_terms"))
     postings = rows.select("chunk_id", "document_id", F.size("_terms").cast("long").alias("length"),
                            F.explode("_terms").alias("term"))
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequencies = term_frequencies(postings)
     stats = rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.size("_terms")).alias("avg_length"))
     return LexicalIndex(postings, frequencies, stats)
 
 
+def term_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def write_postings(index: LexicalIndex, path: str, buckets: int = 512, spread: int = 8) -> None:
     """Postings partitioned by term bucket and sorted by term.
 
@@ -168,8 +172,9 @@ def identifier_search(terms: DataFrame, index: LexicalIndex, k: int, scope: Scop
     that must be in the document title.
     """
     k = min(MAX_HITS, k)
-    hits = term_hits(terms, index, scope)
-    live = live_terms(hits)
+    # The hits feed the liveness test, the AND search and the fallback.
+    hits = materialize(term_hits(terms, index, scope))
+    live = materialize(live_terms(hits))
     needed = live.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_live"))
     per_chunk = hits.groupBy("query_id", "chunk_id", "document_id").agg(
         F.count(F.lit(1)).alias("_have"), F.sum("share").alias("score"))
@@ -180,7 +185,7 @@ def identifier_search(terms: DataFrame, index: LexicalIndex, k: int, scope: Scop
 
     broad = broad_title_questions(live, titles, scope)
     full = full.join(broad, "query_id", "left_anti")
-    title_hits = _title_hits(terms, titles, scope)
+    title_hits = materialize(_title_hits(terms, titles, scope))
     only = title_hits.join(live, ["query_id", "term"], "left_anti").select("query_id", "term").distinct()
     if forced_title is not None:
         only = only.unionByName(forced_title.select("query_id", "term")).distinct()
@@ -267,7 +272,7 @@ def filename_scope(questions: DataFrame, scope: Scope, documents: DataFrame) ->
     queries = scope.queries.join(naming, "query_id", "left").select(
         "query_id", "see_all", (F.col("has_request") | F.col("_naming").isNotNull()).alias("has_request"))
     untouched = scope.requested.join(naming, "query_id", "left_anti")
-    return Scope(queries, scope.documents, scope.granted, untouched.unionByName(narrowed))
+    return Scope(materialize(queries), scope.documents, scope.granted, materialize(untouched.unionByName(narrowed)))
 
 
 # --- table headers --------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from docweave.functions import text as tx
 from docweave.operators import completion, index, selection, vectors
 from docweave.operators.access import Scope
-from docweave.runtime import materialize, persist
+from docweave.runtime import materialize
 
 SOURCE_COLUMNS = ["query_id", "slot", "chunk_id", "document_id", "seq", "filename", "page", "paragraph", "score", "content"]
 
@@ -28,14 +28,16 @@ class Corpus:
 
 
 def build_corpus(documents: DataFrame, chunks: DataFrame, make_encoder: Callable = vectors.HashEncoder, keep: bool = True) -> Corpus:
-    """Index tables of a corpus; they are kept for the several searches that read them."""
+    """Index tables of a corpus, written once for the several searches that read them."""
     technical = index.build_index(chunks)
     general = index.build_index(chunks, tx.lexical_terms("content"))
     embedded = vectors.embed(chunks.select("chunk_id", "document_id", "content"), "content", make_encoder).drop("content")
-    hold = persist if keep else (lambda df: df)
+    hold = materialize if keep else (lambda df: df)
     for table in (technical, general):
         table.postings = hold(table.postings)
-    return Corpus(documents, chunks, technical, general, index.filename_index(documents), hold(embedded))
+        table.frequencies = hold(index.term_frequencies(table.postings))
+        table.stats = hold(table.stats)
+    return Corpus(documents, chunks, technical, general, hold(index.filename_index(documents)), hold(embedded))
 
 
 def hybrid_search(questions: DataFrame, corpus: Corpus, k: int, scope: Scope | None = None, min_score: float | None = None,
@@ -111,7 +113,8 @@ def retrieve(questions: DataFrame, corpus: Corpus, k: int = 3, scope: Scope | No
         tokens = searched.select("query_id", F.posexplode(completion.question_literals("text")).alias("literal_no", "literal"))
         extra = completion.attach_literals(sources, completion.literal_candidates(tokens, corpus.chunks, scope))
         result = result.unionByName(added(extra, "question_literal"))
-        headers = completion.attach_table_headers(sources, completion.header_rows(corpus.chunks))
+        sheets = sources.where(F.lower("filename").endswith(".xlsx")).select("document_id").distinct()
+        headers = completion.attach_table_headers(sources, completion.header_rows(corpus.chunks.join(sheets, "document_id", "left_semi")))
         result = result.unionByName(added(headers, "table_header"))
     if continuations:
         going_on = completion.attach_continuations(sources, corpus.chunks)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docweave.functions import text as tx
+from docweave.runtime import materialize
 
 OVERLAP_CHARS = 24
 SHEET_MARK = "工作表《"
@@ -279,7 +280,8 @@ def order_candidates(candidates: DataFrame, k: int) -> DataFrame:
 
 def select_sources(candidates: DataFrame, k: int) -> DataFrame:
     """Chosen slots and a reason for every candidate: (query_id, chunk_id, position, slot, reason)."""
-    ordered = order_candidates(candidates, k)
+    # The bounded, ordered candidates feed the pick and the reasons.
+    ordered = materialize(order_candidates(candidates, k))
     reason = F.when(F.size("field_matches") > 0, "field_value_match").when(F.size("word_matches") > 0, "query_wordform").otherwise("rank_top_k")
     picks = greedy_pick(ordered, k, reason)
     kept = ordered.select("query_id", "chunk_id", F.lit(True).alias("_kept"))

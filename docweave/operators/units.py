@@ -73,13 +73,14 @@ def parse_rows(chunks: DataFrame, content: str = "content") -> DataFrame:
     keys = [c for c in chunks.columns if c != content]
     # Rows open at their prefix; splitting before each prefix keeps continuation lines together.
     opened = F.split(F.col(content), r"\n(?=(?:工作表|文档表格)《[^》]+》第\s*\d+\s*行：)")
-    rows = chunks.select(*keys, F.posexplode(opened).alias("_part", "_text")).where(F.col("_text").rlike(ROW_PREFIX))
+    marked = chunks.where(F.col(content).contains("》第"))
+    rows = marked.select(*keys, F.posexplode(opened).alias("_part", "_text")).where(F.col("_text").rlike(ROW_PREFIX))
     body = F.regexp_replace("_text", ROW_PREFIX, "")
-    rows = rows.select(
-        *keys, "_part", F.regexp_extract("_text", ROW_PREFIX, 1).alias("sheet"),
-        F.regexp_extract("_text", ROW_PREFIX, 2).cast("long").alias("row"),
+    # The one-element explode keeps the filters below from copying the cell extraction.
+    rows = rows.select(*keys, "_part", F.inline(F.array(F.struct(
+        F.regexp_extract("_text", ROW_PREFIX, 1).alias("sheet"), F.regexp_extract("_text", ROW_PREFIX, 2).cast("long").alias("row"),
         F.arrays_zip(tx.extract_all(body, CELL, 1).alias("column"), tx.extract_all(body, CELL, 2).alias("number"),
-                     tx.extract_all(body, CELL, 3).alias("value")).alias("cells"))
+                     tx.extract_all(body, CELL, 3).alias("value")).alias("cells")))))
     same_row = F.forall("cells", lambda c: c["number"].cast("long") == F.col("row"))
     columns = F.transform("cells", lambda c: c["column"])
     distinct = F.size(F.array_distinct(columns)) == F.size("cells")

@@ -9,7 +9,7 @@ from docweave.operators import access, index, retrieval, vectors
 from docweave.plans.catalog import query
 from docweave.plans.ctes import define, with_ctes
 from docweave.plans.frames import Frames
-from docweave.runtime import persist
+from docweave.runtime import materialize, persist
 
 K = 10
 QUERY_CHUNK = "query_id, chunk_id"
@@ -36,7 +36,9 @@ def _ranked(source: str, k: int = K) -> str:
 
 def _lexical(f: Frames):
     built = index.build_index(f.ready_chunks())
-    built.postings = persist(built.postings)
+    built.postings = materialize(built.postings)
+    built.frequencies = index.term_frequencies(built.postings)
+    built.stats = materialize(built.stats)
     return built
 
 
@@ -315,7 +317,7 @@ def image_hint_search(spark, sf):
 @query("hybrid_search")
 def hybrid_search(spark, sf):
     f = Frames(spark, sf)
-    corpus = retrieval.build_corpus(f.documents(), f.ready_chunks(), lambda: vectors.HashEncoder(64))
+    corpus = retrieval.build_corpus(f.documents(), materialize(f.ready_chunks()), lambda: vectors.HashEncoder(64))
     channels = retrieval.hybrid_search(f.questions(), corpus, 60, scope_of(f), None, lambda: vectors.HashEncoder(64))
     return channels["fused"].select("query_id", "chunk_id", "rrf", "technical_hit", "rank")
 
@@ -325,6 +327,6 @@ def retrieve(spark, sf):
     """Flagship: cited sources of every question within the scope of its user."""
     f = Frames(spark, sf)
     encoder = lambda: vectors.HashEncoder(64)
-    corpus = retrieval.build_corpus(f.documents(), f.ready_chunks(), encoder)
+    corpus = retrieval.build_corpus(f.documents(), materialize(f.ready_chunks()), encoder)
     found = retrieval.retrieve(f.questions(), corpus, 3, scope_of(f), None, encoder)
     return found.select("query_id", "slot", "chunk_id", "document_id", "filename", "relation", "score", "content", "reason")

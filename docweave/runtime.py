@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -48,13 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
     return chosen
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint, which survives executor loss."""
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    The table survives executor loss, is computed once, cuts the lineage of later plans, and its size
+    is known to the planner.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def persist(df: DataFrame) -> DataFrame:
