@@ -128,8 +128,8 @@ def expand_terms(terms, content) -> Column:
                        lambda s, f: F.concat(F.lit("s"), s, F.lit("f"), f))
     empty = F.array().cast("array<string>")
     codes = F.when(content.rlike(STREAM_FUNCTION), codes).otherwise(empty)
-    timer = F.when(F.exists(terms, lambda t: t.rlike(r"^tp\d*$")), F.array(F.lit(TIMER_ALIAS))).otherwise(empty)
-    parts = F.flatten(F.transform(F.filter(terms, lambda t: t.rlike(r"^[a-z]+(?:-[a-z]+)+$")),
+    timer = F.when(F.exists(terms, lambda t: t.startswith("tp") & t.rlike(r"^tp\d*$")), F.array(F.lit(TIMER_ALIAS))).otherwise(empty)
+    parts = F.flatten(F.transform(F.filter(terms, lambda t: t.contains("-") & t.rlike(r"^[a-z]+(?:-[a-z]+)+$")),
                                   lambda t: F.split(t, "-")))
     return F.array_distinct(F.concat(terms, codes, timer, parts))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docweave.functions import text as tx
-from docweave.runtime import ranked, salted_join
+from docweave.runtime import computed, ranked, salted_join
 from docweave.sources.metadata import parse_source_metadata
 
 HISTORY_TURNS, HISTORY_CHARS = 3, 2000
@@ -189,7 +189,7 @@ def freeze_sources(citations: DataFrame, documents: DataFrame, chunks: DataFrame
     """
     meta = parse_source_metadata("source_metadata") if "source_metadata" in documents.columns else F.lit(None).cast("struct<kind:string,sha256:string>")
     raw = F.col("source_metadata") if "source_metadata" in documents.columns else F.lit(None).cast("string")
-    docs = documents.withColumn("_meta", meta).withColumn("_raw", raw)
+    docs = computed(documents, "_meta", meta).withColumn("_raw", raw)
     known = F.col("_meta").isNotNull() & (F.col("_meta.sha256") == F.col("sha256"))
     identity = [F.col("filename"), F.col("sha256").alias("document_sha256"), F.col("version"), F.col("effective_date"), F.col("applicability"), F.col("device")]
     docs = docs.select("document_id", F.struct(*identity).alias("_id"), F.when(known, F.col("_meta.kind")).alias("_kind"),

@@ -8,6 +8,7 @@ from docweave.functions import text as tx
 from docweave.functions.matching import contained_terms
 from docweave.operators.access import COMMON_DEVICE, Scope
 from docweave.operators.index import top_per_query
+from docweave.runtime import computed
 from docweave.sources.metadata import parse_source_metadata
 
 MAX_TERMS, MAX_TERM_CHARS = 8, 50
@@ -29,7 +30,7 @@ def keyword_matches(queries: DataFrame, chunks: DataFrame, scope: Scope | None =
     Queries: query_id, text, and optionally include_archived, page, device, source_types. Chunks:
     chunk_id, document_id, content, status, lifecycle, and page, device, source_type when filtered.
     """
-    asked = queries.withColumn("_terms", F.array_distinct(F.transform(search_terms("text"), tx.ascii_lower))).where(F.size("_terms") > 0)
+    asked = computed(queries, "_terms", F.array_distinct(F.transform(search_terms("text"), tx.ascii_lower))).where(F.size("_terms") > 0)
     wanted = asked.select("query_id", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
     ready = chunks.where(F.col("status") == "ready")
     texts = contained_terms(ready, "chunk_id", "content", wanted)
@@ -105,7 +106,7 @@ def inspection_summary(documents: DataFrame, chunks: DataFrame) -> DataFrame:
              (state == "review") | F.array_contains(tags, "ocr_human_review_pending"), (state == "failed") & ~failed,
              (F.col("_meta.kind") == "web") & (F.col("_meta.status") == "partial"))
     reasons = F.filter(F.array(*[F.when(test, F.lit(reason)) for test, reason in zip(tests, REASONS)]), lambda r: r.isNotNull())
-    found = rows.withColumn("_meta", meta).withColumn("reasons", reasons)
+    found = computed(computed(rows, "_meta", meta), "reasons", reasons)
     return found.where(F.size("reasons") > 0).select("document_id", "filename", "reasons").orderBy(tx.ascii_lower("filename"), "document_id")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docweave.functions import text as tx
 from docweave.functions.matching import contained_terms
-from docweave.runtime import persist
+from docweave.runtime import computed, persist
 
 # Column labels per role, time units and patterns of the definitions.
 COLUMN_LABELS = {
@@ -177,7 +177,7 @@ def byte_blocks(chunks: DataFrame) -> DataFrame:
 
     start = state(F.array(), F.lit(False), F.lit(False))
     hinted = chunks.where(F.col("content").rlike(BYTE_MARK))
-    folded = hinted.select("chunk_id", F.aggregate(lines, start, step).alias("_s")).where(~F.col("_s.void"))
+    folded = computed(hinted.select("chunk_id", "content"), "_s", F.aggregate(lines, start, step)).where(~F.col("_s.void"))
     return folded.select("chunk_id", F.posexplode("_s.blocks").alias("position", "_b")).select(
         "chunk_id", "position", F.col("_b.byte").alias("byte"), F.col("_b.text").alias("definition"))
 
@@ -206,16 +206,17 @@ def parameter_values(blocks: DataFrame) -> DataFrame:
     unit = F.when((F.size(units) == 1) & ~before.rlike(r"(?i)\b(?:not|no|never|without)\b|不|非"), units[0])
     literal = _single_number(text, DEFAULT, True)
     name, timed = F.regexp_extract(text, TIMED_DEFAULT, 1), F.lower(F.regexp_extract(text, TIMED_DEFAULT, 2))
-    number = F.when(literal.rlike("(?i)0x"), F.conv(F.regexp_replace(literal, "(?i)^[+]?0x", ""), 16, 10)).otherwise(literal)
+    known = F.col("_literal")
+    number = F.when(known.rlike("(?i)0x"), F.conv(F.regexp_replace(known, "(?i)^[+]?0x", ""), 16, 10)).otherwise(known)
     exact = F.expr("try_cast(_number AS decimal(38,18))")
     factor = F.when(timed.startswith("tenth"), 0.1).when(timed.isin("ms") | timed.startswith("millisecond"), 0.001).otherwise(1.0).cast("decimal(6,4)")
-    convertible = (F.size(units) == 1) & text.rlike(TIMED_DEFAULT) & ~name.rlike(NEGATION) & (F.length(literal) <= 32) & ~literal.startswith("-")
+    convertible = (F.size(units) == 1) & text.rlike(TIMED_DEFAULT) & ~name.rlike(NEGATION) & (F.length(known) <= 32) & ~known.startswith("-")
     control = F.regexp_replace(F.regexp_replace(text, rf"(?is)\s+in\s+(?:{TIME_UNITS})\b.*$", ""), r"(?is)\s*\(must\s+be.*$", "")
-    rows = blocks.withColumns({"control": F.regexp_replace(control, r"^[ .;；]+|[ .;；]+$", ""), "limit_above": _single_number(text, LIMIT),
-                               "default_value": literal, "unit": unit, "_number": F.when(convertible, number), "_factor": factor})
+    rows = computed(blocks, "_literal", literal).withColumns({"control": F.regexp_replace(control, r"^[ .;；]+|[ .;；]+$", ""), "limit_above": _single_number(text, LIMIT),
+                               "default_value": F.col("_literal"), "unit": unit, "_number": F.when(convertible, number), "_factor": factor})
     seconds = (exact * F.col("_factor")).cast("decimal(38,12)")
     plain = lambda value: F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return rows.withColumn("default_seconds", plain(seconds)).withColumn("default_ms", plain((seconds * 1000).cast("decimal(38,9)"))).drop("_number", "_factor")
+    return rows.withColumn("default_seconds", plain(seconds)).withColumn("default_ms", plain((seconds * 1000).cast("decimal(38,9)"))).drop("_number", "_factor", "_literal")
 
 
 def parameter_lookup(questions: DataFrame, values: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from docweave.functions import text as tx
 from docweave.operators.access import Scope
 from docweave.operators.units import parse_rows
-from docweave.runtime import materialize, salted_join
+from docweave.runtime import computed, materialize, salted_join
 
 K1, B = 1.2, 0.75
 MAX_QUERY_TERMS = 256
@@ -44,8 +44,11 @@ class LexicalIndex:
 
 def build_index(chunks: DataFrame, terms: Column | None = None) -> LexicalIndex:
     """Index of ready chunks; terms are distinct per chunk, so a posting carries no count."""
-    terms = tx.body_terms("content") if terms is None else terms
-    rows = chunks.select("chunk_id", "document_id", terms.alias("_terms"))
+    rows = chunks.select("chunk_id", "document_id", "content")
+    if terms is None:
+        rows = computed(rows, "_own", tx.technical_terms("content"))
+        terms = tx.expand_terms("_own", "content")
+    rows = computed(rows, "_terms", terms)
     postings = rows.select("chunk_id", "document_id", F.size("_terms").cast("long").alias("length"),
                            F.explode("_terms").alias("term"))
     frequencies = term_frequencies(postings)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave.functions import text as tx
-from docweave.runtime import salted_join
+from docweave.runtime import computed, salted_join
 from docweave.sources.metadata import parse_source_metadata
 
 # Accepted extensions, MIME types and size limits.
@@ -182,7 +182,7 @@ def reindex_plan(documents: DataFrame, originals: DataFrame) -> DataFrame:
         .when(F.array_contains(tags, "image_text_direct"), "image_text_reindex_blocked")
         .when(F.exists(tags, lambda t: t.rlike(OCR_TAG)) | F.col("has_ocr_job"), "ocr_reindex_blocked")
         .when(missing, "source_missing"))
-    return (documents.join(actual, "document_id", "left").withColumn("meta", meta).withColumn("route", route)
+    return (computed(documents.join(actual, "document_id", "left"), "meta", meta).withColumn("route", route)
             .withColumn("reason", reason)
             .select("document_id", F.when(F.col("reason").isNull(), F.col("route")).alias("route"), "reason"))
 

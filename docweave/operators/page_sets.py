@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave.functions import text as tx
+from docweave.runtime import computed
 
 LINE_SCORE = 0.60
 PAGE_SCORE = 0.60
@@ -33,7 +34,7 @@ def page_quality(lines: DataFrame) -> DataFrame:
     scored = F.col("unscored") == 0
     first = F.get(F.col("_lines"), F.lit(0))["line_no"]
     uncertain = F.slice(F.filter("_lines", lambda x: x["score"] < LINE_SCORE), 1, MAX_UNCERTAIN)
-    pages = pages.withColumn("text", text).withColumn("_q", quality)
+    pages = computed(pages.withColumn("text", text), "_q", quality)
     warnings = F.filter(F.array(
         F.when(scored & (F.col("low_lines") > 0), F.lit("low_confidence_line")),
         F.when(F.col("_q.chars") == 0, F.lit("no_text_detected")).when(F.col("_q.chars") < MIN_PAGE_CHARS, F.lit("short_text")),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docweave.functions import text as tx
-from docweave.runtime import materialize
+from docweave.runtime import computed, materialize
 
 OVERLAP_CHARS = 24
 SHEET_MARK = "工作表《"
@@ -135,10 +135,8 @@ def with_features(candidates: DataFrame) -> DataFrame:
     """Adds question terms, body terms and title terms used by the ordering rules."""
     per_doc = _per("query_id", "document_id")
     doc_titles = F.flatten(F.transform(tx.extract_all("content", DOCUMENT_TITLE, 1), tx.technical_terms))
-    return (candidates
-            .withColumn("_asked", tx.technical_terms("question"))
-            .withColumn("_words", tx.technical_terms("content"))
-            .withColumn("_title", title_terms("filename"))
+    rows = computed(computed(candidates, "_asked", tx.technical_terms("question")), "_words", tx.technical_terms("content"))
+    return (computed(rows, "_title", title_terms("filename"))
             .withColumn("_context", F.array_union("_title", F.flatten(F.collect_list(doc_titles).over(per_doc))))
             .withColumn("_present", F.array_distinct(F.flatten(F.collect_list("_words").over(per_doc)))))
 
@@ -149,8 +147,8 @@ def bigram_promotion(featured: DataFrame, k: int) -> DataFrame:
     Adds ``promoted`` and rewrites ``position``; blocked when exact identifiers would be lost.
     """
     per_doc = _per("query_id", "document_id")
-    rows = featured.withColumn("_grams", tx.bigrams("question"))
-    rows = rows.withColumn("_shared", shared_bigrams("_grams", "content", "filename"))
+    rows = computed(featured, "_grams", tx.bigrams("question"))
+    rows = computed(rows, "_shared", shared_bigrams("_grams", "content", "filename"))
     rows = rows.withColumn("_r", F.row_number().over(per_doc.orderBy(F.col("_shared").desc(), "position")))
     rows = rows.withColumn("_top", F.max("_shared").over(per_doc))
     leader = F.col("_shared") >= F.col("_top") - 1
@@ -262,8 +260,8 @@ def order_candidates(candidates: DataFrame, k: int) -> DataFrame:
     per_doc = _per("query_id", "document_id")
     kept = dedup_contained(candidates).where("kept").drop("kept")
     rows = bigram_promotion(with_features(kept), k)
-    rows = rows.withColumn("field_matches", field_value_matches("question", "content", "filename")).withColumn(
-        "word_matches", wordform_matches("_asked", "_words", "_present", "_title"))
+    rows = computed(rows, "field_matches", field_value_matches("question", "content", "filename"))
+    rows = computed(rows, "word_matches", wordform_matches("_asked", "_words", "_present", "_title"))
     slots = F.sort_array(F.collect_list("position").over(per_doc))
     place = F.row_number().over(per_doc.orderBy(F.size("field_matches").desc(), F.size("word_matches").desc(), "position"))
     rows = rows.withColumn("_slots", slots).withColumn("_place", place)

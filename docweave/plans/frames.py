@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docweave.functions import text as tx
-from docweave.operators.units import column_letter
+from docweave.runtime import spread
 
 CHUNKS_PER_DOCUMENT = 1_000_000
 
@@ -21,6 +21,10 @@ class Frames:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """The document table, whose text work should use every core."""
+        return spread(self.table("documents"), "doc_id")
+
     # --- corpus -----------------------------------------------------------------------------
 
     def documents(self) -> DataFrame:
@@ -29,7 +33,7 @@ class Frames:
         def pick(modulus: int, *values: str):
             return F.element_at(F.array(*[F.lit(v) for v in values]), (doc % modulus + 1).cast("int"))
 
-        return self.table("documents").select(
+        return self.texts().select(
             doc.alias("document_id"),
             F.concat("source", F.lit("_"), doc.cast("string"), pick(4, ".pdf", ".txt", ".md", ".xlsx")).alias("filename"),
             pick(4, "application/pdf", "text/plain", "text/markdown", "application/octet-stream").alias("content_type"),
@@ -175,7 +179,7 @@ class Frames:
                 F.lit("2024-01-01 00:00:"), F.lpad((i % 60).cast("string"), 2, "0"),
                 F.when(i % 2 == 0, F.lit(" WARNING timer T")).otherwise(F.lit(" INFO step ")),
                 (i % 5).cast("string"), F.lit(" Timeout. "), line)).otherwise(line))
-        return self.table("documents").select(
+        return self.texts().select(
             F.col("doc_id").alias("file_id"), F.array_join(stamped, "\n").alias("content"))
 
     # --- scanned pages --------------------------------------------------------------------------
@@ -183,7 +187,7 @@ class Frames:
     def scanned_lines(self) -> DataFrame:
         """Recognised lines: four lines per page, score from the line length."""
         lines = F.filter(tx.lines_of("text"), lambda line: F.trim(line) != "")
-        return self.table("documents").select(
+        return self.texts().select(
             F.col("doc_id").alias("document_id"), F.posexplode(lines).alias("line_no", "text")).select(
             "document_id", (F.floor(F.col("line_no") / 4) + 1).alias("page"), F.col("line_no").cast("long"), "text",
             ((F.length("text") % 97) / F.lit(96.0)).alias("score"))
@@ -195,5 +199,3 @@ class Frames:
             F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 100).alias("document_id"),
             F.col("embedding").alias("vector"))
 
-
-__all__ = ["Frames", "column_letter"]

@@ -61,6 +61,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed(df: DataFrame, name: str, value) -> DataFrame:
+    """Adds a costly column that is evaluated once per row.
+
+    The optimizer copies a projected expression into every filter and projection above it; it does not
+    copy the output of a generator, here an explode of one element.
+    """
+    others = [F.col(c) for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(value)).alias(name))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work when the input has fewer splits than cores; large inputs keep their splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def persist(df: DataFrame) -> DataFrame:
     """Reuse a frame inside one job; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave.functions import text as tx
+from docweave.runtime import computed
 
 MAX_LOG_CHARS = 4_000_000
 MAX_LOG_LINES = 50_000
@@ -46,7 +47,8 @@ def log_files(files: DataFrame, content: str = "content") -> DataFrame:
                              F.when(bare.contains("\r"), F.lit("cr"))), lambda k: k.isNotNull())
     error = (F.when(text.isNull(), "bad_encoding").when(text.rlike(BAD_CHARACTERS), "control_characters")
              .when(F.length(text) > MAX_LOG_CHARS, "too_many_chars").when(tx.strip(text) == "", "empty_log"))
-    checked = files.withColumn("error_code", error).withColumn("lines", F.when(F.col("error_code").isNull(), lines))
+    checked = computed(files, "error_code", error)
+    checked = computed(checked, "lines", F.when(F.col("error_code").isNull(), lines))
     return (checked
             .withColumn("line_count", F.size("lines").cast("long"))
             .withColumn("error_code", F.coalesce("error_code", F.when(F.col("line_count") > MAX_LOG_LINES, F.lit("too_many_lines"))))
@@ -71,7 +73,7 @@ def record_starts(lines) -> Column:
 def log_lines(files: DataFrame, key: str = "file_id") -> DataFrame:
     """One row per physical line with its record number; the record walk stays inside the file row."""
     starts = record_starts("lines")
-    good = files.where(F.col("error_code").isNull()).withColumn("_starts", starts)
+    good = computed(files.where(F.col("error_code").isNull()), "_starts", starts)
     rows = good.select(key, "_starts", F.posexplode("lines").alias("_i", "line"))
     return rows.select(
         key, (F.col("_i") + 1).cast("long").alias("line_no"),
