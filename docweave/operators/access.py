@@ -102,6 +102,12 @@ class Scope:
         """Rows of a chunk table with the scope of their document."""
         return salted_join(rows, self.per_document(), ["document_id"], "inner", spread)
 
+    @staticmethod
+    def allows() -> Column:
+        """Test for rows that carry an attached scope beside the question's own flags."""
+        listed = lambda name: F.coalesce(F.array_contains(name, F.col("query_id")), F.lit(False))
+        return (F.col("see_all") | F.col("shared") | listed("granted")) & (~F.col("has_request") | listed("requested"))
+
 
 def effective_scope(questions: DataFrame, users: DataFrame, documents: DataFrame, grants: DataFrame, members: DataFrame,
                     requested: DataFrame) -> Scope:

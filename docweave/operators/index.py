@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from docweave.functions import text as tx
 from docweave.operators.access import Scope
 from docweave.operators.units import parse_rows
-from docweave.runtime import computed, materialize, salted_join
+from docweave.runtime import BROADCAST_LIMIT_BYTES, computed, estimated_bytes, materialize, salted_join
 
 K1, B = 1.2, 0.75
 MAX_QUERY_TERMS = 256
@@ -121,13 +121,32 @@ def weighted_terms(terms: DataFrame, index: LexicalIndex) -> DataFrame:
 def term_hits(terms: DataFrame, index: LexicalIndex, scope: Scope | None = None) -> DataFrame:
     """One scored row per (question, chunk, term).
 
-    The question side is small and repeated over salts; the postings of a hot term spread by chunk.
+    Postings are pruned to the asked terms and placed by chunk before they meet the questions. With
+    question weights of proven small size the join is a broadcast, so the sums per chunk and the best
+    hits per question need no further shuffle of the hits. Larger weights meet the postings by term,
+    with the postings of a hot term spread over salts.
     """
     weights = weighted_terms(terms, index)
-    joined = salted_join(index.postings, weights, ["term"], "inner", "chunk_id")
+    postings = index.postings
+    kept = ["query_id", "chunk_id", "document_id", "term", "share"]
+    if scope is not None:
+        weights = weights.join(scope.queries, "query_id")
+    weights = materialize(weights)
+    small = estimated_bytes(weights) <= BROADCAST_LIMIT_BYTES
+    if small:
+        postings = postings.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
+    if scope is not None:
+        # The scope joins the pruned postings, not the much larger hits.
+        postings = scope.attach(postings)
+    if small:
+        joined = postings.repartition("chunk_id").join(F.broadcast(weights), "term")
+    else:
+        joined = salted_join(postings, weights, ["term"], "inner", "chunk_id")
+    if scope is not None:
+        joined = joined.where(scope.allows())
     average = index.stats.select("avg_length").scalar()
     share = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / average))
-    return in_scope(joined.select("query_id", "chunk_id", "document_id", "term", share.alias("share")), scope)
+    return joined.withColumn("share", share).select(*kept)
 
 
 def top_per_query(hits: DataFrame, k: int, *order: Column, name: str = "rank") -> DataFrame:
