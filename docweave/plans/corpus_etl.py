@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import pandas as pd
+from pyspark.sql import functions as F, types as T
 
 from docweave.operators import ingest
 from docweave.plans.catalog import query
@@ -17,15 +18,19 @@ def doc():
 @query("decode_text", sql="SELECT doc_id AS document_id, sha256(text) AS decoded_sha, CAST(length(text) AS BIGINT) AS chars FROM documents")
 def decode_text(spark, sf):
     """Every third document arrives as GB18030, the others as UTF-8 with or without a byte order mark."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     docs = Frames(spark, sf).documents()
     utf8 = F.encode("text", "UTF-8")
-    data = (F.when(doc() % 3 == 0, F.encode("text", "GB18030"))
+    data = (F.when(doc() % 3 == 0, _gb18030("text"))
             .when(doc() % 3 == 1, F.concat(F.lit(readers.BOM_UTF8), utf8)).otherwise(utf8))
     rows = docs.select("document_id", readers.decode_text(data).alias("decoded"))
     return rows.select("document_id", F.sha2("decoded", 256).alias("decoded_sha"), F.length("decoded").cast("long").alias("chars"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _gb18030(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t.encode("gb18030"))
+
+
 def _uploads(spark, sf):
     return Frames(spark, sf).documents().select(
         "document_id",

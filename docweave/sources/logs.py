@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave.functions import text as tx
 from docweave.runtime import computed
+from docweave.sources.readers import strict_decode
 
 MAX_LOG_CHARS = 4_000_000
 MAX_LOG_LINES = 50_000
@@ -26,14 +27,8 @@ def decode_log(data, encoding="auto") -> Column:
     body = F.when(selected == "utf-8-sig", F.substring(data, F.lit(4), F.length(data))).otherwise(data)
     utf8 = F.when(F.is_valid_utf8(body.cast("string")), body.cast("string"))
 
-    def strict(charset: str) -> Column:
-        decoded = F.decode(data, charset)
-        return F.when(F.encode(decoded, charset) == data, decoded)
-
-    text = (F.when(selected.isin("utf-8", "utf-8-sig"), utf8)
-            .when(selected == "utf-16-le", F.regexp_replace(strict("UTF-16LE"), r"^\x{feff}", ""))
-            .when(selected == "utf-16-be", F.regexp_replace(strict("UTF-16BE"), r"^\x{feff}", ""))
-            .when(selected == "gb18030", strict("GB18030")))
+    charset = F.when(selected.isin("utf-16-le", "utf-16-be", "gb18030"), selected)
+    text = F.when(selected.isin("utf-8", "utf-8-sig"), utf8).otherwise(F.regexp_replace(strict_decode(data, charset), r"^\x{feff}", ""))
     return F.struct(selected.alias("encoding"), text.alias("text"))
 
 
