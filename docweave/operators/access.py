@@ -98,6 +98,17 @@ class Scope:
         requested = self.requested.groupBy("document_id").agg(F.collect_set("query_id").alias("requested"))
         return self.documents.join(granted, "document_id", "left").join(requested, "document_id", "left")
 
+    def of(self, queries: DataFrame) -> "Scope":
+        """The scope of some of the questions."""
+        ids = queries.select("query_id")
+        return Scope(self.queries.join(ids, "query_id", "left_semi"), self.documents, self.granted.join(ids, "query_id", "left_semi"),
+                     self.requested.join(ids, "query_id", "left_semi"))
+
+    def pairs_per_document(self) -> int:
+        """Largest number of explicit pairs that one document has."""
+        pairs = self.granted.unionByName(self.requested).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+        return pairs.agg(F.max("n").alias("n")).first()["n"] or 0
+
     def attach(self, rows: DataFrame, spread: str = "chunk_id") -> DataFrame:
         """Rows of a chunk table with the scope of their document."""
         return salted_join(rows, self.per_document(), ["document_id"], "inner", spread)

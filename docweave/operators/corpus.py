@@ -33,11 +33,12 @@ def keyword_matches(queries: DataFrame, chunks: DataFrame, scope: Scope | None =
     asked = computed(queries, "_terms", F.array_distinct(F.transform(search_terms("text"), tx.ascii_lower))).where(F.size("_terms") > 0)
     wanted = asked.select("query_id", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
     ready = chunks.where(F.col("status") == "ready")
-    texts = contained_terms(ready, "chunk_id", "content", wanted)
-    full = (texts.join(wanted, "term").groupBy("chunk_id", "query_id", "_n").agg(F.count(F.lit(1)).alias("_hits"))
-            .where(F.col("_hits") == F.col("_n")).select("query_id", "chunk_id"))
-    columns = [c for c in ("page", "device", "source_type") if c in chunks.columns]
-    rows = full.join(ready.select("chunk_id", "document_id", "lifecycle", *columns), "chunk_id").join(
+    columns = [c for c in ("document_id", "lifecycle", "filename", "seq", "page", "device", "source_type") if c in chunks.columns]
+    # Hits carry what the filters and the paging need, so the chunk table is read once.
+    texts = contained_terms(ready, "chunk_id", "content", wanted, columns)
+    full = (texts.join(wanted, "term").groupBy("chunk_id", "query_id", "_n", *columns).agg(F.count(F.lit(1)).alias("_hits"))
+            .where(F.col("_hits") == F.col("_n")).select("query_id", "chunk_id", *columns))
+    rows = full.join(
         asked.select("query_id", *[F.col(c).alias(f"_want_{c}") for c in (
             "include_archived", "page", "device", "source_types") if c in asked.columns]), "query_id")
     keep = F.col("lifecycle") == "active"
@@ -49,14 +50,13 @@ def keyword_matches(queries: DataFrame, chunks: DataFrame, scope: Scope | None =
         keep = keep & (F.col("_want_device").isNull() | F.col("device").isin(COMMON_DEVICE) | (F.col("device") == F.col("_want_device")))
     if "_want_source_types" in rows.columns:
         keep = keep & (F.col("_want_source_types").isNull() | F.array_contains("_want_source_types", F.col("source_type")))
-    rows = rows.where(keep).select("query_id", "chunk_id", "document_id")
+    rows = rows.where(keep).select("query_id", "chunk_id", "document_id", *[c for c in ("filename", "seq") if c in columns])
     return rows if scope is None else scope.keep(rows)
 
 
-def search_page(matches: DataFrame, chunks: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+def search_page(matches: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """One page of hits ordered by file name, document and position; paging is the feature."""
-    rows = matches.join(chunks.select("chunk_id", "filename", "seq"), "chunk_id")
-    best = top_per_query(rows, offset + limit, tx.ascii_lower("filename"), F.col("document_id"), F.col("seq"), F.col("chunk_id"))
+    best = top_per_query(matches, offset + limit, tx.ascii_lower("filename"), F.col("document_id"), F.col("seq"), F.col("chunk_id"))
     return best.where(F.col("rank") > offset)
 
 

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from docweave.functions import text as tx
 from docweave.operators.access import Scope
 from docweave.operators.units import parse_rows
-from docweave.runtime import BROADCAST_LIMIT_BYTES, computed, estimated_bytes, materialize, salted_join
+from docweave.runtime import BROADCAST_LIMIT_BYTES, computed, estimated_bytes, lookup_join, materialize, salted_join
 
 K1, B = 1.2, 0.75
 MAX_QUERY_TERMS = 256
 MAX_IDENTIFIERS = 16
 MAX_HITS = 200
+MAX_ATTACHED_PAIRS = 4096
 # Labels that make the first sheet row a header, and the log intent of the alias rule.
 HEADER_ROLES = ("type", "input", "precondition", "测试项", "前置条件", "测试步骤", "测试步骤-输入", "期望回复")
 LOG_INTENT_WORD, LOG_INTENT_TERM, LOG_TERM = "日志", "e84", "log"
@@ -114,7 +115,7 @@ def weighted_terms(terms: DataFrame, index: LexicalIndex) -> DataFrame:
     """Adds the index-wide inverse document frequency, floored when it is not positive."""
     n = index.stats.select("n_chunks").scalar()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return terms.join(index.frequencies, "term").select(
+    return lookup_join(index.frequencies, terms, ["term"]).select(
         "query_id", "term", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
 
 
@@ -129,24 +130,27 @@ def term_hits(terms: DataFrame, index: LexicalIndex, scope: Scope | None = None)
     weights = weighted_terms(terms, index)
     postings = index.postings
     kept = ["query_id", "chunk_id", "document_id", "term", "share"]
-    if scope is not None:
+    # A document with few explicit pairs carries them; otherwise the pairs are joined with the hits.
+    attached = scope is not None and scope.pairs_per_document() <= MAX_ATTACHED_PAIRS
+    if attached:
         weights = weights.join(scope.queries, "query_id")
     weights = materialize(weights)
     small = estimated_bytes(weights) <= BROADCAST_LIMIT_BYTES
     if small:
         postings = postings.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
-    if scope is not None:
+    if attached:
         # The scope joins the pruned postings, not the much larger hits.
         postings = scope.attach(postings)
     if small:
         joined = postings.repartition("chunk_id").join(F.broadcast(weights), "term")
     else:
         joined = salted_join(postings, weights, ["term"], "inner", "chunk_id")
-    if scope is not None:
+    if attached:
         joined = joined.where(scope.allows())
     average = index.stats.select("avg_length").scalar()
     share = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / average))
-    return joined.withColumn("share", share).select(*kept)
+    hits = joined.withColumn("share", share).select(*kept)
+    return hits if attached else in_scope(hits, scope)
 
 
 def top_per_query(hits: DataFrame, k: int, *order: Column, name: str = "rank") -> DataFrame:

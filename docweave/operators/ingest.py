@@ -82,15 +82,18 @@ def dedup_exact(documents: DataFrame, existing: DataFrame | None = None) -> Data
     The winner per hash is a partial aggregate and the join back is salted, so a content that
     fills a third of the corpus is neither gathered in one group nor joined in one task.
     """
-    winners = documents.groupBy("sha256").agg(F.min("document_id").alias("new_winner"))
+    winners = documents.groupBy("sha256").agg(F.min("document_id").alias("survivor_id"), F.count(F.lit(1)).alias("_copies"))
     if existing is not None:
-        known = existing.groupBy("sha256").agg(F.min("document_id").alias("known_winner"))
+        known = existing.groupBy("sha256").agg(F.min("document_id").alias("_known"))
         winners = winners.join(known, "sha256", "left").select(
-            "sha256", F.coalesce("known_winner", "new_winner").alias("survivor_id"))
+            "sha256", F.coalesce("_known", "survivor_id").alias("survivor_id"), "_copies", F.col("_known").isNotNull().alias("_repeat"))
+        winners = winners.where((F.col("_copies") > 1) | F.col("_repeat"))
     else:
-        winners = winners.withColumnRenamed("new_winner", "survivor_id")
-    joined = salted_join(documents, winners, ["sha256"], "inner", "document_id")
-    return joined.withColumn("is_duplicate", F.col("survivor_id") != F.col("document_id"))
+        winners = winners.where(F.col("_copies") > 1)
+    # Contents that occur once need no partner, so only repeated ones are joined back.
+    joined = salted_join(documents, winners.select("sha256", "survivor_id"), ["sha256"], "left", "document_id")
+    survivor = F.coalesce("survivor_id", "document_id")
+    return joined.withColumn("survivor_id", survivor).withColumn("is_duplicate", F.col("survivor_id") != F.col("document_id"))
 
 
 def replace_document_chunks(existing: DataFrame, rebuilt: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from docweave.functions import text as tx
 from docweave.operators import completion, index, selection, vectors
 from docweave.operators.access import Scope
-from docweave.runtime import materialize
+from docweave.runtime import lookup_join, materialize
 
 SOURCE_COLUMNS = ["query_id", "slot", "chunk_id", "document_id", "seq", "filename", "page", "paragraph", "score", "content"]
 
@@ -64,7 +64,7 @@ def hybrid_search(questions: DataFrame, corpus: Corpus, k: int, scope: Scope | N
     technical = index.identifier_search(index.identifier_terms(questions), corpus.technical, k, scope, corpus.titles,
                                         index.forced_title_terms(questions))
     general = index.bm25_search(index.or_terms(questions, tx.lexical_terms("text", query=True)), corpus.general, k, scope)
-    fused = vectors.rrf_fuse(semantic, technical, general, k, corpus.vectors)
+    fused = materialize(vectors.rrf_fuse(semantic, technical, general, k, corpus.vectors))
     return {"questions": asked, "semantic": semantic, "technical": technical, "general": general, "fused": fused}
 
 
@@ -73,7 +73,7 @@ def candidates(questions: DataFrame, corpus: Corpus, channels: dict[str, DataFra
     scored = vectors.pair_cosine(channels["fused"], channels["questions"], corpus.vectors)
     rows = scored.select("query_id", "chunk_id", F.col("rank").cast("long").alias("position"), F.round("score", 4).alias("score"))
     body = corpus.chunks.select("chunk_id", "document_id", "seq", "filename", "page", "paragraph", "content")
-    return rows.join(body, "chunk_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+    return lookup_join(body, rows, ["chunk_id"]).join(questions.select("query_id", F.col("text").alias("question")), "query_id")
 
 
 def retrieve(questions: DataFrame, corpus: Corpus, k: int = 3, scope: Scope | None = None, min_score: float | None = None,
@@ -102,7 +102,7 @@ def retrieve(questions: DataFrame, corpus: Corpus, k: int = 3, scope: Scope | No
     body = corpus.chunks.select("chunk_id", "document_id", "seq", "filename", "page", "paragraph", "content")
 
     def added(rows: DataFrame, relation: str) -> DataFrame:
-        full = rows.select("query_id", "chunk_id").join(body, "chunk_id")
+        full = lookup_join(body, rows.select("query_id", "chunk_id"), ["chunk_id"])
         return full.select("query_id", F.lit(None).cast("long").alias("slot"), "chunk_id", "document_id", "seq", "filename", "page", "paragraph",
                            F.lit(None).cast("double").alias("score"), "content", F.lit(relation).alias("relation"))
 
@@ -114,7 +114,7 @@ def retrieve(questions: DataFrame, corpus: Corpus, k: int = 3, scope: Scope | No
         extra = completion.attach_literals(sources, completion.literal_candidates(tokens, corpus.chunks, scope))
         result = result.unionByName(added(extra, "question_literal"))
         sheets = sources.where(F.lower("filename").endswith(".xlsx")).select("document_id").distinct()
-        headers = completion.attach_table_headers(sources, completion.header_rows(corpus.chunks.join(sheets, "document_id", "left_semi")))
+        headers = completion.attach_table_headers(sources, completion.header_rows(lookup_join(corpus.chunks, sheets, ["document_id"], "left_semi")))
         result = result.unionByName(added(headers, "table_header"))
     if continuations:
         going_on = completion.attach_continuations(sources, corpus.chunks)

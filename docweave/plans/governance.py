@@ -199,8 +199,7 @@ def keywords(f: Frames):
     FROM keyword_hits QUALIFY rank BETWEEN 6 AND {K + 5}""")
 def keyword_search(spark, sf):
     f = Frames(spark, sf)
-    matches = corpus.keyword_matches(keywords(f), f.chunks())
-    return corpus.search_page(matches, f.chunks(), K, 5).select("query_id", "chunk_id", "document_id", "rank")
+    return corpus.search_page(corpus.keyword_matches(keywords(f), f.chunks()), K, 5).select("query_id", "chunk_id", "document_id", "rank")
 
 
 @query("keyword_search_filtered", sql=with_ctes("keyword_hits", "docs", "scope") + """
@@ -212,7 +211,7 @@ def keyword_search_filtered(spark, sf):
     f = Frames(spark, sf)
     asked = keywords(f).withColumns({"device": F.lit("LP"), "page": F.when(F.col("query_id") % 2 != 0, F.lit(1))})
     chunks = f.chunks().join(f.documents().select("document_id", "device"), "document_id")
-    return corpus.keyword_matches(asked, chunks, scope_of(f))
+    return corpus.keyword_matches(asked, chunks, scope_of(f)).select("query_id", "chunk_id", "document_id")
 
 
 @query("search_totals", sql=with_ctes("keyword_hits") + "SELECT query_id, count(*) AS total FROM keyword_hits GROUP BY query_id")

@@ -134,7 +134,8 @@ def query_alias_rules(spark, sf):
     named AS (SELECT query_id, CASE WHEN query_id % 4 = 3 THEN 'unknown.pdf' ELSE filename END AS name, query_id % 4 AS form
               FROM questions JOIN docs ON docs.document_id = questions.query_id)
     SELECT s.query_id, s.document_id FROM scope s JOIN named n USING (query_id) JOIN docs d USING (document_id)
-    WHERE n.form = 2 OR (n.form IN (0, 1) AND d.filename = n.name)""")
+    JOIN questions q ON q.query_id = s.query_id
+    WHERE (n.form = 2 AND NOT q.unrestricted) OR (n.form IN (0, 1) AND d.filename = n.name)""")
 def filename_scope(spark, sf):
     """Questions name their file, quote it, exclude it, or name an unknown one."""
     f = Frames(spark, sf)
@@ -145,25 +146,7 @@ def filename_scope(spark, sf):
             .when(form == 1, F.concat(F.lit("请根据 "), F.upper("filename"), F.lit(" 回答")))
             .when(form == 2, F.concat(F.lit("不要根据《"), "filename", F.lit("》回答"))).otherwise("《unknown.pdf》 里写了什么"))
     scope = index.filename_scope(named.withColumn("text", text), scope_of(f), docs)
-    pairs = scope.queries.where("has_request").join(scope.requested, "query_id").select("query_id", "document_id")
-    open_queries = scope.queries.where(~F.col("has_request")).select("query_id")
-    visible = _visible_pairs(f, open_queries)
-    return scope.keep(pairs).unionByName(visible)
-
-
-def _visible_pairs(f: Frames, queries):
-    """Visible documents of the few questions that stay open, for display only."""
-    people = f.questions().join(queries, "query_id").join(f.users(), "user_id")
-    docs = f.documents()
-    shared = docs.where(access.is_shared()).select("document_id", F.lit(1).alias("_one"))
-    everything = docs.select("document_id", F.lit(1).alias("_one"))
-    plain = people.where(~access.is_admin()).select("query_id", "user_id", F.lit(1).alias("_one"))
-    admins = people.where(access.is_admin()).select("query_id", F.lit(1).alias("_one"))
-    granted = access.granted_documents(f.users(), f.grants(), f.members())
-    rows = plain.join(shared, "_one").select("query_id", "document_id").unionByName(
-        plain.join(granted, "user_id").select("query_id", "document_id")).unionByName(
-        admins.join(everything, "_one").select("query_id", "document_id"))
-    return rows.distinct()
+    return access.requested_scope(scope)
 
 
 # --- vectors ------------------------------------------------------------------------------------

@@ -133,6 +133,16 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, sp
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def lookup_join(large: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows of a large table that a bounded set of keys asks for.
+
+    The small side is written once and measured. Within the broadcast limit the large table is only
+    scanned; beyond it both sides are shuffled.
+    """
+    small = materialize(small)
+    return large.join(F.broadcast(small) if estimated_bytes(small) <= BROADCAST_LIMIT_BYTES else small, keys, how)
+
+
 def ranked(df: DataFrame, keys: list[str], bucket, order: list, name: str = "rank") -> DataFrame:
     """Row number within keys, computed per bucket plus an offset.
 

@@ -46,7 +46,7 @@ def read_text_corpus(spark: SparkSession, path: str, kinds: dict[str, str] | Non
     """One row per file: path, filename, kind, size, sha256, text, error_code.
 
     ``binaryFile`` splits by file, so a corpus of many files spreads over the cluster and file
-    sizes are checked from metadata before any content is read.
+    sizes come from metadata. The file source itself skips files of zero bytes.
     """
     kinds = kinds or TEXT_KINDS
     extension = tx.suffix("path")
@@ -56,5 +56,5 @@ def read_text_corpus(spark: SparkSession, path: str, kinds: dict[str, str] | Non
     return files.withColumn("kind", kind).select(
         "path", tx.base_name("path").alias("filename"), "kind",
         F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), text.alias("text"),
-        F.when(F.col("kind").isNull(), "unsupported_ext").when(F.col("length") == 0, "empty_file")
+        F.when(F.col("kind").isNull(), "unsupported_ext").when((F.col("length") == 0) | (text == ""), "empty_file")
         .when(text.isNull(), "bad_encoding").alias("error_code"))

@@ -64,7 +64,7 @@ def test_read_text_corpus(spark, tmp_path):
     (tmp_path / "b.md").write_bytes("参数".encode("gb18030"))
     (tmp_path / "c.txt").write_bytes(b"\xff\xfe\x00\xd8")
     (tmp_path / "d.bin").write_bytes(b"x")
-    (tmp_path / "e.log").write_bytes(b"")
+    (tmp_path / "e.log").write_bytes(b"\xef\xbb\xbf")
     rows = {r["filename"]: r for r in readers.read_text_corpus(spark, str(tmp_path)).collect()}
     assert rows["a.txt"]["text"] == "设备" and rows["b.md"]["text"] == "参数"
     assert rows["c.txt"]["error_code"] == "bad_encoding" and rows["d.bin"]["error_code"] == "unsupported_ext"
