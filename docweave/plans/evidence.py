@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.functions import text as tx
 from docweave.operators import completion, selection, units
 from docweave.plans.catalog import query
 from docweave.plans.chunk_index import caption_index, captioned
@@ -88,9 +87,6 @@ def bigram_promotion(spark, sf):
     return rows.select("query_id", "chunk_id", "position", "promoted")
 
 
-define("field_rows", """
-    SELECT chunk_id, seq, document_id FROM chunks""", "chunks")
-
 
 @query("field_value_match", sql=with_ctes("chunks") + """
     SELECT chunk_id, CASE WHEN seq % 10 = 3 OR document_id % 4 = 1 THEN 'mode=3' ELSE '' END AS matches FROM chunks""")
@@ -144,8 +140,10 @@ def _sources(f: Frames, k: int = 5):
 
 @query("attach_continuations")
 def attach_continuations(spark, sf):
+    """Every third chunk lost its final stop, so its text goes on in the next one."""
     f = Frames(spark, sf)
-    return completion.attach_continuations(_sources(f), f.ready_chunks()).select(
+    torn = lambda df: df.withColumn("content", F.when(F.col("chunk_id") % 3 == 0, F.regexp_replace("content", r"\.$", "")).otherwise(F.col("content")))
+    return completion.attach_continuations(torn(_sources(f)), torn(f.ready_chunks())).select(
         "query_id", "after_slot", "chunk_id", "continuation_of", "trimmed_at_section", F.length("content").alias("chars"))
 
 

@@ -91,19 +91,29 @@ def heading_path(spark, sf):
     return units.explode_blocks(parsed.select("page_id", "blocks"))
 
 
-@query("page_links")
+def linked_pages(f: Frames):
+    """Every article also links a neighbour and shows an image."""
+    extra = F.concat(F.lit('<a href="/next/'), (F.col("page_id") % 7).cast("string"), F.lit('#top"> more </a><a href="mailto:x@y">m</a><img data-src="i.png" alt="pic"></article>'))
+    return html.articles(f.table("pages").withColumn("html", F.regexp_replace("html", "</article>", extra)))
+
+
+define("hosts", "SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)') AS host, page_id % 7 AS k FROM pages")
+
+
+@query("page_links", sql=with_ctes("hosts") + "SELECT page_id, 0 AS position, host || '/next/' || k || '#top' AS url, 'more' AS label FROM hosts")
 def page_links(spark, sf):
-    return html.page_links(html.articles(Frames(spark, sf).table("pages")))
+    return html.page_links(linked_pages(Frames(spark, sf)))
 
 
 @query("page_images")
 def page_images(spark, sf):
-    return html.page_images(html.articles(Frames(spark, sf).table("pages")))
+    return html.page_images(linked_pages(Frames(spark, sf)))
 
 
-@query("link_in_degree")
+@query("link_in_degree", sql=with_ctes("hosts") + """
+    SELECT host || '/next/' || k || '#top' AS url, count(*) AS links, count(DISTINCT page_id) AS linking_pages FROM hosts GROUP BY 1""")
 def link_in_degree(spark, sf):
-    return html.link_in_degree(html.page_links(html.articles(Frames(spark, sf).table("pages"))))
+    return html.link_in_degree(html.page_links(linked_pages(Frames(spark, sf))))
 
 
 @query("figure_links")
