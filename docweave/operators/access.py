@@ -129,12 +129,15 @@ def effective_scope(questions: DataFrame, users: DataFrame, documents: DataFrame
     """
     people = users.select("user_id", is_admin().alias("see_all"))
     asked = requested.select("query_id").distinct().withColumn("has_request", F.lit(True))
+    # An unknown user sees nothing: the question counts as a request for no document.
+    unknown = F.col("see_all").isNull()
     queries = (questions.select("query_id", "user_id").join(people, "user_id", "left").join(asked, "query_id", "left")
                .select("query_id", "user_id", F.coalesce("see_all", F.lit(False)).alias("see_all"),
-                       F.coalesce("has_request", F.lit(False)).alias("has_request")))
+                       (F.coalesce("has_request", F.lit(False)) | unknown).alias("has_request"), unknown.alias("_unknown")))
+    requested = requested.join(queries.where("_unknown").select("query_id"), "query_id", "left_anti")
     granted = granted_documents(users, grants, members).join(queries.where(~F.col("see_all")).select("query_id", "user_id"), "user_id")
     # Every search step filters by the same scope.
-    return Scope(materialize(queries.drop("user_id")), materialize(documents.select("document_id", is_shared().alias("shared"))),
+    return Scope(materialize(queries.drop("user_id", "_unknown")), materialize(documents.select("document_id", is_shared().alias("shared"))),
                  materialize(granted.select("query_id", "document_id")), materialize(requested.select("query_id", "document_id").distinct()))
 
 

@@ -103,7 +103,7 @@ def test_title_fallback(spark):
 
 def test_empty_scope_never_widens(spark):
     rows, chunks = corpus(spark)
-    questions = spark.createDataFrame([(1, 1, "alpha"), (2, 1, "alpha"), (3, 9, "alpha")], "query_id long, user_id long, text string")
+    questions = spark.createDataFrame([(1, 1, "alpha"), (2, 1, "alpha"), (3, 9, "alpha"), (4, 77, "alpha")], "query_id long, user_id long, text string")
     users = spark.createDataFrame([(1, "user"), (9, "root")], "user_id long, role string")
     documents = spark.createDataFrame([(d, "shared" if d < 4 else "secret") for d in range(12)], "document_id long, visibility string")
     grants = spark.createDataFrame([(5, "user", 1), (6, "group", 7)], "document_id long, subject_type string, subject_id long")
@@ -113,7 +113,7 @@ def test_empty_scope_never_widens(spark):
     found = index.bm25_search(index.or_terms(questions, tx.technical_terms("text")), index.build_index(chunks), 200, scope)
     docs = lambda q: {r["document_id"] for r in found.where(F.col("query_id") == q).collect()}
     holding = {r[1] for r in rows if "alpha" in r[4].split()}
-    assert docs(1) == holding & {0, 1, 2, 3, 5, 6} and docs(2) == set() and docs(3) == holding
+    assert docs(1) == holding & {0, 1, 2, 3, 5, 6} and docs(2) == set() and docs(3) == holding and docs(4) == set()
 
 
 def test_filename_mentions(spark):
