@@ -6,7 +6,7 @@ import importlib
 
 from docweave.llm.registry import QUERIES, SQL
 
-MODULES = ("toxicity", "quality", "token_counts", "packing", "language", "fingerprints")
+MODULES = ("toxicity", "quality", "decontamination", "token_counts", "licenses", "packing", "language", "line_dedup", "fingerprints")
 
 for _module in MODULES:
     importlib.import_module(f"docweave.llm.{_module}")
