@@ -19,10 +19,10 @@ CACHE_ENTRIES = 700_000
 class WordIds(dict):
     """chunk -> little-endian unsigned 32-bit ids, in a dictionary of bounded size."""
 
-    # Letters of the pattern below: ASCII and the two Latin blocks, where case and composition need no context.
-    plain = re.compile(r"[!-~À-ÖØ-öø-ɏ]+\Z")
+    # Letters of the pattern below: ASCII and the two Latin blocks up to U+017F, where case and composition need no context.
+    plain = re.compile(r"[!-~À-ÖØ-öø-ſ]+\Z")
     # The tokenizer's split pattern, fixed by its file, over those letters.
-    parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-öø-ɏ]+")
+    parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 
     def __init__(self, path: str):
         super().__init__()
