@@ -11,7 +11,6 @@ from docweave.operators.index import top_per_query
 from docweave.runtime import computed
 from docweave.sources.metadata import parse_source_metadata
 
-MAX_TERMS, MAX_TERM_CHARS = 8, 50
 OCR_FAILED, OCR_SUSPECT = r"^ocr_failed_pages=", r"^ocr_suspect_pages="
 # Reasons of the inspection summary, in their order.
 REASONS = ("处理未就绪", "没有入库片段", "记录片段数与实际不一致", "存在空白片段", "部分片段缺少位置", "OCR 存在可疑页",
@@ -19,9 +18,8 @@ REASONS = ("处理未就绪", "没有入库片段", "记录片段数与实际不
 
 
 def search_terms(query) -> Column:
-    """At most eight white-space separated terms of at most fifty characters."""
-    words = F.filter(F.split(tx.strip(query), r"(?U)\s+"), lambda w: w != "")
-    return F.slice(F.transform(words, lambda w: F.substring(w, 1, MAX_TERM_CHARS)), 1, MAX_TERMS)
+    """All white-space separated terms, whole."""
+    return F.filter(F.split(tx.strip(query), r"(?U)\s+"), lambda w: w != "")
 
 
 def keyword_matches(queries: DataFrame, chunks: DataFrame, scope: Scope | None = None) -> DataFrame:

@@ -153,17 +153,18 @@ def filename_scope(spark, sf):
 
 define("pairs", """
     SELECT q.chunk_id AS query_id, c.chunk_id, c.document_id, round(list_dot_product(q.vector, c.vector), 9) AS score
-    FROM vectors q, vectors c""", "vectors")
+    FROM vectors q, vectors c WHERE q.chunk_id % 20 = 0""", "vectors")
 define("semantic", """
     SELECT query_id, chunk_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
     FROM pairs WHERE score >= 0.25 QUALIFY rank <= 20""", "pairs")
 
 
 def _vector_questions(f: Frames):
-    return f.vectors().select(F.col("chunk_id").alias("query_id"), "vector")
+    """The rows whose id is divisible by 20 ask, all rows are searched."""
+    return f.vectors().where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
 
 
-@query("embed")
+@query("embed", sql="SELECT doc_id AS document_id, 64 AS dim, 1.0::DOUBLE AS norm FROM documents")
 def embed(spark, sf):
     rows = vectors.embed(Frames(spark, sf).documents().select("document_id", "text"), make_encoder=lambda: vectors.HashEncoder(64))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
@@ -209,7 +210,7 @@ def cosine_topk_scoped(spark, sf):
 define("history", """
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
       SELECT q.chunk_id AS query_id, c.chunk_id, round(list_dot_product(p.vector, c.vector), 9) AS score
-      FROM vectors q JOIN vectors p ON p.chunk_id = q.chunk_id - 1, vectors c) WHERE score >= 0.25 QUALIFY rank <= 20""", "vectors")
+      FROM vectors q JOIN vectors p ON p.chunk_id = q.chunk_id - 1, vectors c WHERE q.chunk_id % 20 = 0) WHERE score >= 0.25 QUALIFY rank <= 20""", "vectors")
 
 
 @query("history_fusion", sql=with_ctes("semantic", "history") + """,
@@ -222,7 +223,7 @@ def history_fusion(spark, sf):
     """The previous question of a vector question is the one numbered before it."""
     f = Frames(spark, sf)
     asked = _vector_questions(f)
-    before = asked.select((F.col("query_id") + 1).alias("query_id"), "vector").join(asked.select("query_id"), "query_id", "left_semi")
+    before = f.vectors().select((F.col("chunk_id") + 1).alias("query_id"), "vector").join(asked.select("query_id"), "query_id", "left_semi")
     return vectors.history_fusion(vectors.cosine_topk(asked, f.vectors(), 20), vectors.cosine_topk(before, f.vectors(), 20), 20)
 
 
@@ -280,7 +281,7 @@ def rerank_windows(spark, sf):
 
 @query("rerank")
 def rerank(spark, sf):
-    return vectors.rerank(bm25_candidates(Frames(spark, sf), 20)).select("query_id", "chunk_id", "position", "rerank_score", "rerank_rank")
+    return vectors.rerank(bm25_candidates(Frames(spark, sf), 20)).select("query_id", "chunk_id", "position", "rerank_score", "rerank_rank", "rerank_error")
 
 
 @query("image_hint_search")
@@ -312,4 +313,4 @@ def retrieve(spark, sf):
     encoder = lambda: vectors.HashEncoder(64)
     corpus = retrieval.build_corpus(f.documents(), materialize(f.ready_chunks()), encoder)
     found = retrieval.retrieve(f.questions(), corpus, 3, scope_of(f), None, encoder)
-    return found.select("query_id", "slot", "chunk_id", "document_id", "filename", "relation", "score", "content", "reason")
+    return found.select("query_id", "slot", "chunk_id", "document_id", "filename", "relation", "source_no", "score", "content", "reason")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates.
 
     A cluster names it in ``spark.checkpoint.dir``; only a local master may fall back to a
-    temporary folder, because there the driver and the executors share one disk.
+    temporary folder, because there the driver and the executors share one disk; it goes when the driver ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -45,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     chosen = tempfile.mkdtemp(prefix="docweave-")
+    atexit.register(shutil.rmtree, chosen, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", chosen)
     return chosen
 
