@@ -74,14 +74,20 @@ def test_jaccard_of_odd_tables(spark):
     assert jj.keep_one(h.empty(spark)).count() == 0
 
 
-def test_tree_traversal_finds_every_link():
+def test_tree_traversal_lets_every_link_through():
     sets = [np.unique(np.random.default_rng(n % 40).integers(0, 1 << 40, 50 + n % 9).astype(np.uint64)) for n in range(150)]
     sets = [np.sort(np.concatenate([s[:-(n % 5) or None], np.array([n], dtype=np.uint64)])) if n % 2 else s for n, s in enumerate(sets)]
-    forest = jj.Forest(len(sets))
-    tree = jj.SignatureTree(sets, list(range(len(sets))), jj.width_for(sets))
-    jj.traverse(tree, tree, sets, forest)
-    expected = h.smallest_reachable(range(len(sets)), [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if jj.linked(sets[a], sets[b])])
-    assert {n: forest.find(n) for n in range(len(sets))} == expected
+    sizes, bits = np.array([len(s) for s in sets]), [jj.bitmap(s) for s in sets]
+    everything = list(range(len(sets)))
+
+    def pairs(groups):
+        return {(int(a), int(b)) for p, q in jj.candidates(everything, everything, sizes, groups, bits) for a, b in zip(p, q)}
+
+    found = pairs(np.array(everything))
+    links = {(a, b) for a, b in itertools.permutations(everything, 2) if jj.linked(sets[a], sets[b])}
+    assert links <= found and len(found) < len(sets) ** 2 / 5
+    halves = np.array([n // 75 for n in everything])
+    assert pairs(halves) == {(a, b) for a, b in found if halves[a] != halves[b]}
 
 
 def test_components(spark):
@@ -159,9 +165,26 @@ def test_near_marks_against_all_pairs(spark):
             for bit in rng.sample(range(64), flips):
                 mark ^= 1 << bit
             marks.add(mark - (1 << 64) if mark >> 63 else mark)
-    found = collections.Counter(map(tuple, ld.near_marks(spark.createDataFrame([(m,) for m in marks], "mark long")).collect()))
+    found = collections.Counter(map(tuple, ld.near_marks(spark.createDataFrame([(m, None) for m in marks], "mark long, label long")).collect()))
     expected = {(a, b) for a, b in itertools.combinations(sorted(marks), 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= ld.DISTANCE}
     assert set(found) == expected and set(found.values()) <= {1}
+    stars = set(map(tuple, ld.near_marks(spark.createDataFrame([(m, None) for m in marks], "mark long, label long"), heads_only=True).collect()))
+    assert stars <= expected
+    labelled = ld.near_marks(spark.createDataFrame([(m, m % 2) for m in marks], "mark long, label long"))
+    assert set(map(tuple, labelled.collect())) == {(a, b) for a, b in expected if (a - b) % 2}
+
+
+def test_distance_within():
+    rng = random.Random(8)
+    for _ in range(400):
+        a = "".join(rng.choice("ab ") for _ in range(rng.randrange(30)))
+        b = list(a) if rng.random() < 0.7 else [rng.choice("ab ") for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(4)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice("ab "))
+        b = "".join(b)
+        exact = h.edit_distance(a, b)
+        for allowed in (0, 1, exact - 1, exact, exact + 1, 10):
+            assert ld.distance_within(a, b, allowed) == (exact <= allowed) or allowed < 0
 
 
 def test_line_dedup_of_odd_tables(spark):
