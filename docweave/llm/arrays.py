@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 2000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -129,6 +130,19 @@ def shared(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, with the session's Arrow batches at no more than ``BATCH_ROWS`` rows.
+
+    Spark holds whole batches outside the heap, twice while they grow; ten thousand texts at once, its usual
+    batch, are too many beside an executor's other memory.
+    """
+    conf = df.sparkSession.conf
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], list | None], schema: str, finish: Callable[[], list] | None = None,
                 column: str = "text") -> DataFrame:
     """``work`` gets slices of bounded size and returns arrays in the order of ``schema``."""
@@ -147,7 +161,7 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], list | None], sc
             for made in finish():
                 if len(made[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(a, type=f.type) for a, f in zip(made, target)], schema=target)
-    return df.mapInArrow(run, fields)
+    return small_batches(df).mapInArrow(run, fields)
 
 
 def fold(text_id, modulus: int):

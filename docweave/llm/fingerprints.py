@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docweave.llm.arrays import mix
+from docweave.llm.arrays import mix, small_batches
 from docweave.llm.registry import query
 
 MODULI = (np.uint64(2147483647), np.uint64(2147483629))
@@ -207,7 +207,7 @@ def fingerprints(documents: DataFrame, partitions: int | None = None) -> DataFra
         if out:
             yield batch_of(out)
 
-    return ordered.mapInArrow(run, SCHEMA)
+    return small_batches(ordered).mapInArrow(run, SCHEMA)
 
 
 @query("op10_fingerprints")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docweave.llm.arrays import BASE, IN_WORD, NOT_SPACE, fold, map_batches, mix, runs, shared, slices, span_hashes, text_bytes
+from docweave.llm.arrays import BASE, IN_WORD, NOT_SPACE, fold, map_batches, mix, runs, shared, slices, small_batches, span_hashes, text_bytes
 from docweave.llm.registry import query
 from docweave.llm.tables import labelled, summed
 
@@ -120,7 +120,7 @@ def train(documents: DataFrame, labels: DataFrame, setting: Setting = Setting())
             table[np.frombuffer(slots.as_py(), dtype=np.int32)] += np.frombuffer(weights.as_py())
             table[-1] += rows.as_py()
 
-    table = summed(dealt.mapInArrow(shard, "slots binary, weights binary, text string, rows long"), setting.slots + 1, "float64", add)
+    table = summed(small_batches(dealt).mapInArrow(shard, "slots binary, weights binary, text string, rows long"), setting.slots + 1, "float64", add)
     return (table[:-1] / max(table[-1], 1)).astype(np.float32)
 
 

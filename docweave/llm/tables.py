@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docweave.llm.arrays import slices
+from docweave.llm.arrays import slices, small_batches
 from docweave.runtime import BROADCAST_LIMIT_BYTES, estimated_bytes
 
 CHUNKS = 64
@@ -42,7 +42,7 @@ def summed(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarray, pa
         for chunk, part in totals.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "body": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
-    parts = df.mapInArrow(count, "chunk int, body binary").repartition("chunk").mapInArrow(merge, "chunk int, body binary")
+    parts = small_batches(df).mapInArrow(count, "chunk int, body binary").repartition("chunk").mapInArrow(merge, "chunk int, body binary")
     table = np.zeros(length, dtype=dtype)
     for row in parts.collect():
         part = np.frombuffer(zlib.decompress(row["body"]), dtype=dtype)

@@ -13,7 +13,7 @@ import re
 import sys
 import types
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 200_000
 
 
 class WordIds(dict):
