@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave.functions import text as tx
 from docweave.operators.access import check_access
-from docweave.runtime import ranked, salted_join
+from docweave.runtime import materialize, ranked, salted_join
 
 PRIOR_TURNS = 6
 MAX_SCOPE_DOCUMENTS = 100
@@ -132,22 +132,25 @@ def eval_scope(originals: DataFrame, users: DataFrame, documents: DataFrame, gra
     rows = originals.join(people, "user_id", "left").join(counts, "user_id", "left")
     named = F.size("document_ids") > 0
     asked = rows.where(named).select("review_id", "user_id", F.explode(F.array_distinct("document_ids")).alias("document_id"))
-    checked = check_access(asked, users, documents, grants, members)
+    checked = materialize(check_access(asked, users, documents, grants, members))
     per_review = checked.groupBy("review_id").agg(F.count(F.lit(1)).alias("_asked"), F.bool_and("visible").alias("_all_visible"))
     judged = rows.join(per_review, "review_id", "left")
     error = (F.when(F.col("document_ids").isNull(), "scope_lost").when(~F.coalesce("is_active", F.lit(False)), "user_inactive")
              .when(named & ~F.coalesce("_all_visible", F.lit(False)), "access_revoked")
              .when(F.when(named, F.col("_asked")).otherwise(F.col("visible_documents")) > limit, "too_many_documents")
              .when(~named & (F.col("visible_documents") == 0), "empty_scope"))
-    judged = judged.withColumn("error", error)
+    judged = materialize(judged.withColumn("error", error))
     good = judged.where(F.col("error").isNull())
     explicit = checked.join(good.select("review_id"), "review_id", "left_semi").select("review_id", "document_id")
     open_ended = good.where(~named).select("review_id", "user_id", "_admin")
-    # Open scopes that passed the count check hold at most ``limit`` documents each.
-    one = F.lit(1).alias("_one")
-    everything = active.select("document_id", is_shared().alias("_shared"), one)
-    shared = (open_ended.where(~F.col("_admin")).select("review_id", one).join(everything.where("_shared"), "_one")
-              .unionByName(open_ended.where("_admin").select("review_id", one).join(everything, "_one")))
+
+    def listed(rows: DataFrame):
+        """Document ids as one array. Open scopes that passed the count check hold at most ``limit`` documents, so a
+        longer list has no reader and is not gathered."""
+        return rows.select("document_id").limit(limit).agg(F.collect_list("document_id").alias("_ids")).select("_ids").scalar()
+
+    shared = (open_ended.where(~F.col("_admin")).select("review_id", F.explode(listed(active.where(is_shared()))).alias("document_id"))
+              .unionByName(open_ended.where("_admin").select("review_id", F.explode(listed(active)).alias("document_id"))))
     granted = open_ended.join(granted_documents(users, grants, members).join(active.select("document_id"), "document_id", "left_semi"), "user_id")
     scope = explicit.unionByName(shared.select("review_id", "document_id")).unionByName(granted.select("review_id", "document_id")).distinct()
     return scope, judged.where(F.col("error").isNotNull()).select("review_id", "error")

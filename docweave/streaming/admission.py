@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = "event_id long, key long, at_us long, admitted boolean, retry_after_s double"
+OUTPUT = "event_id long, key long, at_us long, admitted boolean, retry_after_s double, late boolean"
 
 
 def admit(times, limit: int, window_us: int, held: deque) -> list[tuple[bool, float]]:
@@ -59,18 +60,23 @@ def admission_batch(events: DataFrame, limit: int, window_s: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, deque()
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (row.key, row.segment) != current:
-                    current, held = (row.key, row.segment), deque()
-                out.append(admit([row.at_us], limit, window_us, held)[0])
-            yield batch[["event_id", "key", "at_us"]].assign(admitted=[d[0] for d in out], retry_after_s=[d[1] for d in out])
+            if not len(batch):
+                continue
+            runs = batch[["key", "segment"]].to_numpy()
+            heads = np.flatnonzero(np.r_[True, (runs[1:] != runs[:-1]).any(axis=1)])
+            times, out = batch["at_us"].tolist(), []
+            for start, stop in zip(heads, [*heads[1:], len(runs)]):
+                # The first run of a batch may go on from the one before.
+                if tuple(runs[start]) != current:
+                    current, held = tuple(runs[start]), deque()
+                out.extend(admit(times[start:stop], limit, window_us, held))
+            yield batch[["event_id", "key", "at_us"]].assign(admitted=[d[0] for d in out], retry_after_s=[d[1] for d in out], late=False)
 
     return ordered.mapInPandas(run, OUTPUT)
 
 
 class AdmissionProcessor(StatefulProcessor):
-    """Keeps the admitted times of a key; events behind the last seen time of their key are late."""
+    """Keeps the admitted times of a key; events behind the last seen time of their key come out as late and are not decided."""
 
     def __init__(self, limit: int, window_s: int):
         self.limit, self.window_us = limit, window_s * 1_000_000
@@ -80,18 +86,20 @@ class AdmissionProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", "at_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_us", "event_id"])
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "event_id"])
         held = deque(value[0] for value in self.admitted.get()) if self.admitted.exists() else deque()
         last = self.last.get()[0] if self.last.exists() else None
-        if last is not None:
-            batch = batch[batch["at_us"] >= last]
+        late = batch[batch["at_us"] < last] if last is not None else batch.iloc[:0]
+        if len(late):
+            yield late[["event_id", "key", "at_us"]].astype("int64").assign(admitted=False, retry_after_s=np.nan, late=True)
+        batch = batch.drop(late.index)
         if len(batch):
             decisions = admit(batch["at_us"].tolist(), self.limit, self.window_us, held)
             self.admitted.put([(int(at),) for at in held])
             self.last.update((int(batch["at_us"].iloc[-1]),))
             yield pd.DataFrame({
                 "event_id": batch["event_id"].astype("int64"), "key": batch["key"].astype("int64"), "at_us": batch["at_us"].astype("int64"),
-                "admitted": [d[0] for d in decisions], "retry_after_s": [d[1] for d in decisions]})
+                "admitted": [d[0] for d in decisions], "retry_after_s": [d[1] for d in decisions], "late": False})
 
     def close(self) -> None:
         pass
