@@ -291,8 +291,15 @@ def labelled_statements(sources: DataFrame) -> DataFrame:
 def id_pairs(sources: DataFrame, label: str = "label") -> DataFrame:
     """(query_id, chunk_id, command, reply): last code before and first code after the label in its clause."""
     flat = sources.withColumn("_t", flatten_text("content"))
-    pattern = F.concat(F.lit(r"(?i)([^；;。]{0,80})"), _edge(F.col(label)), F.lit(r"(?=([^；;。]{0,80}))"))
-    pairs = F.arrays_zip(F.regexp_extract_all("_t", pattern, F.lit(1)).alias("before"), F.regexp_extract_all("_t", pattern, F.lit(2)).alias("after"))
+    # Cut at the label: what stands next to a cut, up to the clause's end, holds the codes of its occurrence.
+    parts = F.split("_t", F.concat(F.lit("(?i)"), _edge(F.col(label))))
+
+    def around(place):
+        after = F.array_join(F.slice(parts, place + 2, F.size(parts)), " ")
+        return F.struct(F.regexp_extract(F.right(F.get(parts, place), F.lit(80)), "([^；;。]*)$", 1).alias("before"),
+                        F.regexp_extract(F.left(after, F.lit(80)), "^([^；;。]*)", 1).alias("after"))
+
+    pairs = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(0), F.size(parts) - 2), around))
     rows = flat.select("query_id", "chunk_id", F.explode(pairs).alias("_p"))
     command, reply = F.element_at(tx.extract_all("_p.before", HEX_BYTE), -1), F.get(tx.extract_all("_p.after", HEX_BYTE), F.lit(0))
     found = F.size(tx.extract_all("_p.before", HEX_BYTE)) > 0

@@ -95,7 +95,7 @@ def field_value_match(spark, sf):
     n = F.col("seq") % 10
     block = F.when(F.col("document_id") % 4 == 1, "\nMODE Format: U 1\n 3 = run\n 13 = stop\nWhere used: S1F1").otherwise(
         "\nKIND Format: U 1\n 3 = run\nWhere used: S1F1")
-    content = F.concat(F.lit("XMODE=3 MODE="), n.cast("string"), F.lit(" MODE=30 "), block)
+    content = F.concat("content", F.lit("\nXMODE=3 MODE="), n.cast("string"), F.lit(" MODE=30 "), block)
     rows = Frames(spark, sf).chunks().select("chunk_id", selection.field_value_matches(F.lit("mode=3 是什么"), content, "filename").alias("m"))
     return rows.select("chunk_id", F.array_join("m", " ").alias("matches"))
 

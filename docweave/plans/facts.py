@@ -17,8 +17,8 @@ def part_cells(f: Frames):
 
 
 def texts(f: Frames, *pieces):
-    """One chunk per document whose text follows a pattern over its id."""
-    return f.documents().select(F.col("document_id").alias("chunk_id"), "document_id", F.concat(*pieces).alias("content"))
+    """One chunk per document: its whole text, and behind it a pattern over its id that the operator has to find there."""
+    return f.documents().select(F.col("document_id").alias("chunk_id"), "document_id", F.concat("text", F.lit("\n"), *pieces).alias("content"))
 
 
 def number(modulus: int):
@@ -213,9 +213,10 @@ def merge_citations(spark, sf):
 
 
 @query("local_evidence", sql="""
-    SELECT doc_id AS chunk_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'Cmd_A.' || (doc_id % 9) || ' opens' END AS evidence FROM documents""")
+    SELECT doc_id AS chunk_id, CASE WHEN doc_id % 6 = 0 OR regexp_matches(text, '(?i)(^|[^a-z0-9_])(on|off)([^a-z0-9_]|$)') THEN NULL
+           ELSE 'Cmd_A.' || (doc_id % 9) || ' opens' END AS evidence FROM documents""")
 def local_evidence(spark, sf):
-    """Every sixth text names the identifier on two lines."""
+    """Every sixth text names the identifier on two lines; texts about on or off are refused."""
     name = F.concat(F.lit("Cmd_A."), number(9))
     rows = texts(Frames(spark, sf), F.lit("first\n"), name, F.lit(" opens\nCmd_A.77 foreign"), F.when(F.col("document_id") % 6 == 0, F.concat(F.lit("\n"), name, F.lit(" again"))).otherwise(F.lit("\nlast")))
     return rows.select("chunk_id", facts.local_evidence(F.concat(F.lit("what does "), name, F.lit(" do")), "content").alias("evidence"))
