@@ -53,13 +53,14 @@ def build_corpus(documents: DataFrame, chunks: DataFrame, make_encoder: Callable
 
 
 def hybrid_search(questions: DataFrame, corpus: Corpus, k: int, scope: Scope | None = None, min_score: float | None = None,
-                  make_encoder: Callable = vectors.HashEncoder) -> dict[str, DataFrame]:
+                  make_encoder: Callable = vectors.HashEncoder, narrowed: bool = False) -> dict[str, DataFrame]:
     """Semantic, identifier and general channels and their fusion, at most ``k`` rows per question each.
 
     Questions: query_id, text and optionally previous_question. File names in
-    a question narrow its scope.
+    a question narrow its scope, unless the caller's is ``narrowed`` already.
     """
-    scope = index.filename_scope(questions, scope or open_scope(questions, corpus.documents), corpus.documents)
+    if not narrowed:
+        scope = index.filename_scope(questions, scope or open_scope(questions, corpus.documents), corpus.documents)
     # Written once: the encoder sees every question once, however often its vector is read.
     asked = materialize(vectors.embed(questions.select("query_id", "text"), "text", make_encoder, query=True).drop("text"))
     current = vectors.cosine_topk(asked, corpus.vectors, k, min_score, scope)
@@ -98,9 +99,10 @@ def retrieve(questions: DataFrame, corpus: Corpus, k: int = 3, scope: Scope | No
     """
     addressed = completion.row_addresses(questions).select("query_id").distinct()
     searched = questions.join(addressed, "query_id", "left_anti")
-    scope = scope or open_scope(questions, corpus.documents)
+    # Every step, not the search alone, keeps to the files a question names.
+    scope = index.filename_scope(questions, scope or open_scope(questions, corpus.documents), corpus.documents)
     located = completion.table_row_address(questions, corpus.documents, corpus.chunks, k, scope)
-    channels = hybrid_search(searched, corpus, min(200, 20 * k), scope, min_score, make_encoder)
+    channels = hybrid_search(searched, corpus, min(200, 20 * k), scope, min_score, make_encoder, narrowed=True)
     # The bounded candidates feed several steps; a checkpoint keeps the search from being repeated.
     found = materialize(candidates(searched, corpus, channels))
     if reranked:
