@@ -115,7 +115,7 @@ def brute_lines(rows):
                 occurrences[key].append((i, n, number))
     first = {}
     for key, (mark, _) in classes.items():
-        first[mark] = min(first.get(mark, key), key)
+        first[mark] = min(first.get(mark, key), key, key=lambda k: (-len(occurrences[k]), k))
     links = []
     for key, (mark, text) in classes.items():
         for other_mark, head in first.items():
@@ -187,6 +187,16 @@ def test_distance_within():
             assert ld.distance_within(a, b, allowed) == (exact <= allowed) or allowed < 0
 
 
+def test_simhash_is_the_majority_of_the_bits():
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 2, 3, 255, 256, 700, 5])
+    hashes = rng.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    heads = np.cumsum(sizes) - sizes
+    for mark, head, size in zip(ld.simhashes(hashes, heads), heads, sizes):
+        own = [int(w) for w in hashes[head:head + size]]
+        assert int(mark) == sum(1 << bit for bit in range(64) if 2 * sum(w >> bit & 1 for w in own) > size)
+
+
 def test_line_dedup_of_odd_tables(spark):
     found = ld.dedup_lines(h.odd(spark))
     assert found.columns[:-1] == h.odd(spark).columns
