@@ -112,13 +112,15 @@ def brute_lines(rows):
             if found is not None and len(found[2]):
                 key = int(found[2][0])
                 classes[key] = (int(found[3][0]) & (1 << 64) - 1, normal(line))
+                assert int(found[4][0]) == len(normal(line))
                 occurrences[key].append((i, n, number))
     first = {}
-    for key, (mark, _) in classes.items():
-        first[mark] = min(first.get(mark, key), key, key=lambda k: (-len(occurrences[k]), k))
+    for key, (mark, text) in classes.items():
+        unit = mark, len(text)
+        first[unit] = min(first.get(unit, key), key, key=lambda k: (-len(occurrences[k]), k))
     links = []
     for key, (mark, text) in classes.items():
-        for other_mark, head in first.items():
+        for (other_mark, _), head in first.items():
             if head != key and (mark ^ other_mark).bit_count() <= ld.DISTANCE:
                 longest = max(len(text), len(classes[head][1]))
                 if h.edit_distance(text, classes[head][1]) <= int(0.1 * longest + 1e-9):
@@ -165,13 +167,15 @@ def test_near_marks_against_all_pairs(spark):
             for bit in rng.sample(range(64), flips):
                 mark ^= 1 << bit
             marks.add(mark - (1 << 64) if mark >> 63 else mark)
-    found = collections.Counter(map(tuple, ld.near_marks(spark.createDataFrame([(m, None) for m in marks], "mark long, label long")).collect()))
-    expected = {(a, b) for a, b in itertools.combinations(sorted(marks), 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= ld.DISTANCE}
-    assert set(found) == expected and set(found.values()) <= {1}
-    stars = set(map(tuple, ld.near_marks(spark.createDataFrame([(m, None) for m in marks], "mark long, label long"), heads_only=True).collect()))
-    assert stars <= expected
-    labelled = ld.near_marks(spark.createDataFrame([(m, m % 2) for m in marks], "mark long, label long"))
-    assert set(map(tuple, labelled.collect())) == {(a, b) for a, b in expected if (a - b) % 2}
+    frame = spark.createDataFrame([(m, 100, None) for m in marks], "mark long, length int, label long")
+    found = collections.Counter((r.a, r.b) for r in ld.near_marks(frame).collect())
+    near = {frozenset(p) for p in itertools.combinations(marks, 2) if ((p[0] ^ p[1]) & (1 << 64) - 1).bit_count() <= ld.DISTANCE}
+    assert {frozenset(p) for p in found} == near and set(found.values()) <= {1} and len(found) == len(near)
+    assert {frozenset((r.a, r.b)) for r in ld.near_marks(frame, heads_only=True).collect()} <= near
+    labelled = ld.near_marks(frame.withColumn("label", F.pmod("mark", F.lit(2)))).collect()
+    assert {frozenset((r.a, r.b)) for r in labelled} == {p for p in near if len({m % 2 for m in p}) == 2}
+    lengths = ld.near_marks(frame.withColumn("length", F.when(F.pmod("mark", F.lit(3)) == 0, 120).otherwise(100).cast("int"))).collect()
+    assert {frozenset((r.a, r.b)) for r in lengths} == {p for p in near if len({m % 3 == 0 for m in p}) == 1}
 
 
 def test_distance_within():
