@@ -296,3 +296,41 @@ def test_license_scan_of_odd_tables(spark):
     assert [tuple(r) for r in licenses.scan(rows).collect()] == [(None, "MIT", 0, 0, 4, 1.0)] * 2
     with pytest.raises(ValueError):
         licenses.Templates([("X", "two words")])
+
+
+def spoiled(text, way, seed):
+    """A near copy: ``way`` is the share of characters edited at random, or k for one changed character in every k-th word."""
+    rng, signs = random.Random(seed), "abcdefghijklmnopqrstuvwxyz"
+    if way >= 1:
+        words = text.split()
+        for place in range(way - 1, len(words), way):
+            middle = len(words[place]) // 2
+            words[place] = words[place][:middle] + "q" + words[place][middle + 1:]
+        return " ".join(words)
+    out = list(text)
+    for place in rng.sample(range(len(text)), int(way * len(text))):
+        out[place] = rng.choice([rng.choice(signs), rng.choice(signs), "", out[place] + rng.choice(signs)])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("way", [0.05, 0.1, 0.15, 0.2, 0.25, 3, 2])
+def test_decontamination_finds_near_copies_alone(spark, way):
+    items = ITEMS[:30]
+    texts = [h.prose(n + 40, 30) + " " + spoiled(text, way, n) + " " + h.prose(n + 90, 30) for n, text in items]
+    plain = [" ".join(re.findall("[a-z0-9]+", t)) for t in texts]
+    due = {n for n, text in items if dc.part_distance(text, plain[n], len(text)) <= int(0.25 * len(text))}
+    found = {(r.doc_id, r.item_id): r for r in dc.matches(h.documents(spark, texts).withColumn("text_hash", F.xxhash64("text")), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {d for d, i in found if d != i} == set() and len(due) > 20
+    assert len(due & {d for d, _ in found}) >= 0.9 * len(due)
+    for (n, _), r in found.items():
+        assert r.distance == dc.part_distance(items[n][1], plain[n], len(items[n][1])) and abs(r.first_word - 30) <= 2
+
+
+def test_within():
+    rng = random.Random(6)
+    for _ in range(200):
+        item, text = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(2))
+        best = dc.part_distance(item, text, len(item))
+        assert [dc.within(item, text, limit) for limit in range(len(item))] == [limit >= best for limit in range(len(item))]
+        distance, start = dc.best_part(item, text, len(item))
+        assert distance == best == min(h.edit_distance(item, text[start:end]) for end in range(start, len(text) + 1))
