@@ -49,6 +49,16 @@ def test_toxicity_never_reads_held_out_labels(spark, toxic_corpus):
     assert np.array_equal(a[0], b[0]) and np.allclose(a[1], b[1])
 
 
+def test_toxicity_counts_every_row_outside_the_held_out_fold(spark, toxic_corpus):
+    documents, labels = toxic_corpus
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    toxic = (F.col("doc_id") % 5 == 0) & (fold == SMALL_TOXIC.calibration_fold)
+    marked = documents.withColumn("text", F.when(toxic, F.concat("text", F.lit(" rarescorn"))).otherwise(F.col("text")))
+    model = toxicity.train(marked.withColumn("text", F.lower("text")), labels, SMALL_TOXIC)
+    peak = {r.doc_id: r.peak_ratio for r in toxicity.score(h.documents(spark, ["rarescorn", "neverseen"]), model, SMALL_TOXIC).collect()}
+    assert peak[0] > 1 and peak[0] > peak[1] + 1
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     setting = toxicity.Setting(word_slots=64, pair_slots=32, contexts=2)
     counts = np.random.default_rng(1).integers(0, 5, (2, setting.size))
