@@ -157,6 +157,18 @@ def test_line_dedup(spark):
     assert sum(r["__lost"] for r in found) > 20
 
 
+@pytest.mark.parametrize("chunk", [1024, 2])
+def test_line_dedup_compares_classes_unlike_the_first(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ld, "CHUNK_CLASSES", chunk)
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}{d}" for a, b, c, d in zip("bcdfglmnprst" * 2, "aeiou" * 5, "zyxwvkjhgfdc" * 2, "uoiea" * 5)]
+    orders = [rng.sample(words, len(words)) for _ in range(8)]  # of one SimHash and one length, all unlike
+    swapped = [order[:9] + [order[10], order[9]] + order[11:] for order in orders]
+    lines = [" ".join(order) for order in [orders[0]] * 3 + orders[1:] + swapped[1:]]
+    texts = [r.text for r in ld.dedup_lines(h.documents(spark, lines)).orderBy("doc_id").collect()]
+    assert texts == [lines[0], "", ""] + lines[3:10] + [""] * 7
+
+
 def test_near_marks_against_all_pairs(spark):
     rng = random.Random(2)
     marks = set()
