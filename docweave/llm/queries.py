@@ -6,7 +6,8 @@ import importlib
 
 from docweave.llm.registry import QUERIES, SQL
 
-MODULES = ("toxicity", "quality", "decontamination", "token_counts", "licenses", "packing", "jaccard_join", "language", "line_dedup", "fingerprints")
+MODULES = ("toxicity", "quality", "decontamination", "token_counts", "licenses", "packing", "jaccard_join", "language", "line_dedup", "fingerprints",
+           "periodic_runs")
 
 for _module in MODULES:
     importlib.import_module(f"docweave.llm.{_module}")
