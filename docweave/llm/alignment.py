@@ -29,14 +29,17 @@ from docweave.runtime import materialize
 
 LANE = 64
 LOOKUP_PAIRS = 2_000_000
-SEGMENT = 1 << 16
+CACHE_ENTRIES = 300_000
+TOGETHER = 10_000
+CACHED_LENGTH = 40
 
 
 class Tokens:
     """Both tokenizers and the byte spelling of their ids."""
 
-    # A space between two such letters starts a token of either tokenizer.
-    gap = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+    # A space between two signs, the second not white, starts a token of either tokenizer; texts without the other pattern have no other spaces.
+    gap = re.compile(r"(?<=[^ ]) (?=\S)")
+    other = re.compile(r" (?:\s|\Z)|\A ")
 
     def __init__(self, first: str, second: str):
         from sentencepiece import SentencePieceProcessor
@@ -56,40 +59,79 @@ class Tokens:
         pieces = [self.second.id_to_piece(n) for n in range(self.second.get_piece_size())]
         self.second_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(n) else p.replace("▁", " ").encode() for n, p in enumerate(pieces)]
         self.first_sizes, self.second_sizes = (np.array([len(b) for b in table], dtype=np.int64) for table in (self.first_bytes, self.second_bytes))
-        # Long texts are cut only if no piece goes on from a letter over a space.
-        self.divisible = not any(re.search("[A-Za-z]▁", p) for p in pieces)
+        # Texts are cut at gaps only if no piece goes on from another sign over a space.
+        self.divisible = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
         numbers = [str(n) for n in range(max(len(self.first_bytes), len(self.second_bytes)))]
         self.spelled = np.array([n + sign for sign in (",", "|", ";", "") for n in numbers], dtype=object).reshape(4, -1)
 
-    def segments(self, text: str) -> list[str]:
+    def chunks(self, text: str) -> list[str]:
         """Parts that both tokenizers read as they read the text; the space before a part is the one they add."""
-        if len(text) < 2 * SEGMENT or not self.divisible:
-            return [text]
-        parts, start = [], 0
-        while len(text) - start >= 2 * SEGMENT:
-            found = self.gap.search(text, start + SEGMENT)
-            if found is None:
-                break
-            parts.append(text[start:found.start()])
-            start = found.end()
-        return [*parts, text[start:]]
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each text with a space before it; both are empty where the bytes of either differ from it."""
-        divided = [self.segments(text) for text in texts]
-        parts = [part for some in divided for part in some]
-        first = [e.ids for e in self.first.encode_batch([" " + p for p in parts], add_special_tokens=False)]
-        second = self.second.encode(parts, num_threads=1)
-        made, at = ([], []), 0
-        for text, some in zip(texts, divided):
-            wanted, ids = (" " + text).encode(), []
-            for encoded, table in ((first, self.first_bytes), (second, self.second_bytes)):
-                whole = encoded[at] if len(some) == 1 else [i for part in encoded[at:at + len(some)] for i in part]
-                ids.append(whole if b"".join(map(table.__getitem__, whole)) == wanted else None)
-            at += len(some)
-            for values, one in zip(made, ids):
-                values.append([] if not text or None in ids else one)
-        return made
+        if not text or not self.divisible:
+            return [text] if text else []
+        return self.gap.split(text) if self.other.search(text) else text.split(" ")
+
+    def learn(self, chunks: set[str]) -> None:
+        """Ids of chunks that the cache lacks, as bytes of 32-bit numbers; None where a tokenizer does not spell the bytes.
+
+        Chunks that may stand next to each other are read as one text and parted at their ends.
+        """
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        new = list(chunks.difference(self.cache))
+        odd = [chunk for chunk in new if chunk[:1].isspace() or chunk[-1:] == " " or "▁" in chunk or not self.divisible]
+        held = set(odd)
+        plain = [chunk for chunk in new if chunk not in held]
+        for start in range(0, len(plain), TOGETHER):
+            some = plain[start:start + TOGETHER]
+            made = self.read(some)
+            if made is None:
+                odd += some
+            else:
+                self.cache.update(zip(some, made))
+        for chunk in odd:
+            made = self.read([chunk])
+            self.cache[chunk] = made and made[0]
+
+    def read(self, chunks: list[str]) -> list[tuple[bytes, bytes]] | None:
+        """Ids of consecutive chunks, or None if a tokenizer does not spell all their bytes or goes on over an end."""
+        text = " ".join(chunks)
+        wanted = (" " + text).encode()
+        ends = np.cumsum([1 + len(chunk.encode()) for chunk in chunks])
+        sides = []
+        for ids, spelling, sizes in ((self.first.encode(" " + text, add_special_tokens=False).ids, self.first_bytes, self.first_sizes),
+                                     (self.second.encode(text), self.second_bytes, self.second_sizes)):
+            if b"".join([spelling[i] for i in ids]) != wanted:
+                return None
+            numbers = np.array(ids, dtype=np.int32)
+            token_ends = np.cumsum(sizes[numbers])
+            last = np.searchsorted(token_ends, ends)
+            if (token_ends[last] != ends).any():
+                return None
+            body, stops = numbers.tobytes(), (4 * (last + 1)).tolist()
+            sides.append([body[a:b] for a, b in zip([0, *stops], stops)])
+        return list(zip(*sides))
+
+    def forget(self, chunks: set[str]) -> None:
+        """Long chunks do not stay."""
+        for chunk in chunks:
+            if len(chunk) > CACHED_LENGTH:
+                del self.cache[chunk]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of all texts, each with a space before it, and how many each has, for both sides. A text has none where the bytes of either side differ from it."""
+        divided = [self.chunks(text) for text in texts]
+        wanted = set().union(*divided)
+        self.learn(wanted)
+        known, counts, joined = self.cache, ([], []), ([], [])
+        for parts in divided:
+            found = [known[part] for part in parts]
+            for side in (0, 1):
+                ids = b"" if None in found else b"".join([pair[side] for pair in found])
+                joined[side].append(ids)
+                counts[side].append(len(ids) // 4)
+        self.forget(wanted)
+        return ([np.frombuffer(b"".join(side), dtype=np.int32).astype(np.int64) for side in joined], [np.array(side, dtype=np.int64) for side in counts])
 
 
 def tokens(first: str, second: str) -> Tokens:
@@ -160,9 +202,7 @@ def aligned(documents: DataFrame, first: str, second: str) -> DataFrame:
 
     def work(batch):
         known = tokens(first, second)
-        ids = known.encode([text or "" for text in batch.column("text").to_pylist()])
-        counts_a, counts_b = (np.array([len(i) for i in side], dtype=np.int64) for side in ids)
-        flat_a, flat_b = (np.fromiter((i for some in side for i in some), dtype=np.int64, count=int(n.sum())) for side, n in zip(ids, (counts_a, counts_b)))
+        (flat_a, flat_b), (counts_a, counts_b) = known.encode([text or "" for text in batch.column("text").to_pylist()])
         stops = np.cumsum(counts_a)
         links_a, links_b, cuts_a, cuts_b = merge(np.cumsum(known.first_sizes[flat_a]), np.cumsum(known.second_sizes[flat_b]), stops - counts_a, stops)
         owner = np.repeat(np.arange(batch.num_rows), counts_a)

@@ -137,11 +137,18 @@ def test_lockstep_equals_all_overlaps(sizes, lane, rng):
     assert ends_a[cuts_a].tolist() == common and ends_b[cuts_b].tolist() == common
 
 
-def test_long_texts_are_read_in_parts(monkeypatch):
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(min_codepoint=1, max_codepoint=0x2FF), st.sampled_from("ab  \n\t\r' .1　 ▁é日😀")), max_size=40))
+def test_chunks_are_read_like_the_whole_text(text):
     a, b, _, known = both()
     assert known.divisible
-    monkeypatch.setattr(al, "SEGMENT", 200)
-    for text in (h.prose(3, 2000), " ".join(["Les élèves 12 don't", "x\n\ny"] * 300), "z" * 5000, "a  b" * 900):
-        first, second = known.encode([text])
-        assert first[0] == a.encode(" " + text, add_special_tokens=False).ids and second[0] == b.encode(text)
-    assert len(known.segments(h.prose(3, 2000))) > 10
+    (first, second), (n_first, n_second) = known.encode(["x", text, "y z"])
+    at_a, at_b = n_first[0], n_second[0]
+    whole = spans_of(text)
+    assert first[at_a:at_a + n_first[1]].tolist() == [i for i, _, _ in whole[0]] and second[at_b:at_b + n_second[1]].tolist() == [i for i, _, _ in whole[1]]
+
+
+def test_long_chunks_leave_the_cache():
+    known = al.Tokens(*al.default_paths())
+    known.encode(["short " + "y" * 5000])
+    assert set(known.cache) == {"short"}
