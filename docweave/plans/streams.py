@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docweave.operators import chunking
 from docweave.plans.catalog import query
 from docweave.plans.frames import Frames
-from docweave.runtime import shared_dir
+from docweave.runtime import materialize, shared_dir
 from docweave.streaming import admission, jobs
 
 
@@ -22,12 +22,42 @@ def requests(events):
     return events.select("event_id", F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
 
 
-@query("admission_batch")
+# The walk of one user event by event; the list holds the admitted times of the window.
+ADMISSION_SQL = """
+    WITH RECURSIVE e AS (SELECT event_id, user_id AS key, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    walk AS (
+      SELECT key, n, event_id, at_us, true AS admitted, 0.0::DOUBLE AS retry_after_s, [at_us] AS held FROM e WHERE n = 1
+      UNION ALL
+      SELECT key, n, event_id, at_us, len(live) < {limit}, CASE WHEN len(live) < {limit} THEN 0.0 ELSE (live[1] + {window} - at_us) / 1e6 END,
+             CASE WHEN len(live) < {limit} THEN list_append(live, at_us) ELSE live END
+      FROM (SELECT e.*, list_filter(w.held, lambda h: h > e.at_us - {window}) AS live FROM walk w JOIN e ON e.key = w.key AND e.n = w.n + 1))
+    SELECT event_id, key, at_us, admitted, retry_after_s, false AS late FROM walk"""
+TWO_A_DAY = ADMISSION_SQL.format(limit=2, window=86_400_000_000)
+
+
+@query("admission_batch", sql=TWO_A_DAY)
 def admission_batch(spark, sf):
     """At most two admitted events per user and day."""
     return admission.admission_batch(requests(Frames(spark, sf).table("events")), 2, 86400)
 
 
+@query("admission_event_time", sql=TWO_A_DAY)
+def admission_event_time(spark, sf):
+    """The same decisions for events that arrive up to six hours late, in four deliveries, and a closing event that lets the watermark pass."""
+    delay_s, deliveries = 6 * 3600, 4
+    events = requests(Frames(spark, sf).table("events"))
+    arrived = materialize(events.withColumn("arrival", F.col("at_us") + F.pmod(F.xxhash64("event_id"), F.lit(delay_s * 1_000_000))))
+    first, last = arrived.agg(F.min("arrival"), F.max("arrival")).first()
+    if first is None:
+        first = last = 0
+    delivery = F.floor((F.col("arrival") - first) * deliveries / (last - first + 1))
+    parts = [arrived.where(delivery == number).drop("arrival") for number in range(deliveries)]
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("key"),
+                                    F.lit(last + (delay_s + 2 * 86400) * 1_000_000).cast("long").alias("at_us"))
+    decided = jobs.replay([*parts, closing], lambda stream: admission.admission_event_time(stream, 2, 86400, delay_s))
+    return decided.where("key >= 0")
+
+
 @query("admission_per_minute", sql="""
     SELECT event_id, true AS admitted FROM events e WHERE (
       SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND o.ts <= e.ts AND o.ts > e.ts - INTERVAL 60 SECOND) <= 10""")
@@ -37,7 +67,7 @@ def admission_per_minute(spark, sf):
     return rows.where("admitted").select("event_id", "admitted")
 
 
-@query("admission_stream")
+@query("admission_stream", sql=TWO_A_DAY)
 def admission_stream(spark, sf):
     return jobs.run_to_table(admission.admission_stream(requests(_stream(spark, sf, "events")), 2, 86400))
 

@@ -1,4 +1,9 @@
-"""Sliding-window admission: batch and streaming forms that agree."""
+"""Sliding-window admission: batch and streaming forms that agree.
+
+``admission_stream`` decides events as they come and needs them in time order. ``admission_event_time`` takes them
+in any order within a delay: a buffer per key holds them until the watermark has passed, an event-time timer per key
+releases them in time order, and the same timer drops the state of a key once nothing in it can matter.
+"""
 
 from __future__ import annotations
 
@@ -110,3 +115,86 @@ def admission_stream(events: DataFrame, limit: int, window_s: int) -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return events.select("event_id", "key", "at_us").groupBy("key").transformWithStateInPandas(
         statefulProcessor=AdmissionProcessor(limit, window_s), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+
+
+class EventTimeAdmission(StatefulProcessor):
+    """Buffer, admitted times and one timer per key.
+
+    The timer stands at the earliest buffered event while there is one, else at the end of the last admitted
+    event's window, when the key's state goes. Events behind the watermark broke the promise of the delay: they come
+    out as late, undecided, and do not count.
+    """
+
+    def __init__(self, limit: int, window_s: int):
+        self.limit, self.window_us = limit, window_s * 1_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at_us long, event_id long")
+        self.admitted = handle.getListState("admitted", "at_us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        early = None
+        for batch in rows:
+            late = batch["at_us"] < passed_us
+            if late.any():
+                gone = batch.loc[late, ["event_id", "key", "at_us"]].astype("int64")
+                yield gone.assign(admitted=False, retry_after_s=np.nan, late=True)
+            kept = batch.loc[~late]
+            if len(kept):
+                self.waiting.appendList(list(zip(kept["at_us"].astype(int).tolist(), kept["event_id"].astype(int).tolist())))
+                first = int(kept["at_us"].min())
+                early = first if early is None else min(early, first)
+        if early is not None:
+            self.wake(early)
+
+    def wake(self, at_us: int) -> None:
+        """Fire once the watermark is past this time, unless an earlier timer stands; the later one goes."""
+        wanted, standing = at_us // 1000 + 1, list(self.handle.listTimers())
+        if standing and min(standing) <= wanted:
+            return
+        for timer in standing:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(wanted)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted((int(at), int(event)) for at, event in self.waiting.get()) if self.waiting.exists() else []
+        ready = [event for event in waiting if event[0] < passed_us]
+        rest = waiting[len(ready):]
+        held = deque(int(row[0]) for row in self.admitted.get()) if self.admitted.exists() else deque()
+        if ready:
+            decisions = admit([at for at, _ in ready], self.limit, self.window_us, held)
+            yield pd.DataFrame({
+                "event_id": [event for _, event in ready], "key": [int(key[0])] * len(ready), "at_us": [at for at, _ in ready],
+                "admitted": [d[0] for d in decisions], "retry_after_s": [d[1] for d in decisions], "late": False})
+        # Undecided events are not before the watermark, so times a window older can no longer matter.
+        while held and held[0] <= passed_us - self.window_us:
+            held.popleft()
+        for state, rows in ((self.waiting, rest), (self.admitted, [(at,) for at in held])):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        elif held:
+            self.handle.registerTimer((held[-1] + self.window_us) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def admission_event_time(events: DataFrame, limit: int, window_s: int, delay_s: int) -> DataFrame:
+    """Streaming form for events in any order within ``delay_s``: same decisions as ``admission_batch``.
+
+    Results follow the watermark; what is still within the delay when a source ends stays in the state.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = events.select("event_id", "key", "at_us", F.timestamp_micros("at_us").alias("at")).withWatermark("at", f"{delay_s} seconds")
+    # The time column stays behind, so the watermark moves but late rows arrive and can be marked.
+    return timed.drop("at").groupBy("key").transformWithStateInPandas(
+        statefulProcessor=EventTimeAdmission(limit, window_s), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")

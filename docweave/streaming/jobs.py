@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,6 +22,23 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def replay(arrivals: list[DataFrame], transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Feed a streaming transformation one frame after the other and return all it appended.
+
+    Each frame is written to a source folder and processed by a run that goes on from the checkpoint of the one
+    before, as a job does that is restarted between deliveries.
+    """
+    spark = arrivals[0].sparkSession
+    base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    for frame in arrivals:
+        frame.write.mode("append").parquet(f"{base}/in")
+        made = transform(spark.readStream.schema(frame.schema).parquet(f"{base}/in"))
+        job = (made.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+               .trigger(availableNow=True).start())
+        job.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{base}/out")
+
+
 # --- ingest -------------------------------------------------------------------------------------
 
 

@@ -269,6 +269,33 @@ def test_admission_batch_and_stream_agree(spark, tmp_path):
     assert all(not (a[0] == b[0] and b[1] - a[1] < 10_000_000) for a, b in zip(admitted, admitted[3:]))
 
 
+ADMISSION = "event_id long, key long, at_us long"
+
+
+def test_event_time_admission_of_shuffled_arrival(spark, tmp_path):
+    """Events up to 19 s late within a delay of 20 s, in five deliveries, decide as the batch; later ones are marked."""
+    rng = random.Random(5)
+    events = [(i, 0 if rng.random() < .4 else rng.randint(1, 5), rng.randint(0, 4000) * 100_000) for i in range(1500)]
+    arrival = sorted(events, key=lambda e: e[2] + rng.randint(0, 19_000_000))
+    late = [(9000, 0, 0), (9001, 3, 350_000_000)]
+    parts = [arrival[n * 300:(n + 1) * 300] for n in range(5)] + [[(9998, -1, 10 ** 10)], [*late, (9999, -1, 10 ** 10 + 1)]]
+    folder = str(tmp_path)
+    for part in parts:
+        spark.createDataFrame(part, ADMISSION).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(ADMISSION).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    job = (admission.admission_event_time(stream, 3, 10, 20).writeStream.format("parquet").option("path", f"{folder}/out")
+           .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    job.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out").where("key >= 0").collect()
+    batch = {r["event_id"]: (r["admitted"], r["retry_after_s"]) for r in admission.admission_batch(spark.createDataFrame(events, ADMISSION), 3, 10).collect()}
+    assert {r["event_id"]: (r["admitted"], r["retry_after_s"]) for r in rows if not r["late"]} == batch and len(rows) == 1502
+    assert sorted((r["event_id"], r["admitted"]) for r in rows if r["late"]) == [(9000, False), (9001, False)]
+    assert {r["event_id"]: a for r in rows if not r["late"] for a in [r["admitted"]]} == brute_admission(events, 3, 10_000_000)
+    for name in ("waiting", "admitted"):
+        state = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", name).load()
+        assert state.where("key.key >= 0").count() == 0
+
+
 def test_stream_ingest_replaces_and_deduplicates(spark, tmp_path):
     schema = "document_id long, filename string, size_bytes long, content_type string, text string"
     batches = [[(1, "a.txt", 3, "text/plain", "one"), (2, "b.txt", 3, "text/plain", "two"), (3, "c.exe", 3, "", "bad")],
