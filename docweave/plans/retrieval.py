@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import access, index, retrieval, vectors
+from docweave.operators import access, impact, index, retrieval, vectors
 from docweave.plans.catalog import query
 from docweave.plans.ctes import define, with_ctes
 from docweave.plans.frames import Frames
@@ -49,6 +49,14 @@ def bm25_search(spark, sf):
     return index.bm25_search(index.or_terms(f.questions(), tx.technical_terms("text")), _lexical(f), K)
 
 
+@query("block_max_search", sql=with_ctes("shares") + ", s AS (SELECT query_id, chunk_id, document_id, sum(share) AS score FROM shares GROUP BY ALL) "
+       + _ranked("s"))
+def block_max_search(spark, sf):
+    """The rows of ``bm25_search`` from impact blocks."""
+    f = Frames(spark, sf)
+    return impact.block_max_search(index.or_terms(f.questions(), tx.technical_terms("text")), impact.build_impact_index(f.ready_chunks()), K)
+
+
 @query("bm25_search_scoped", sql=with_ctes("scoped_shares")
        + ", s AS (SELECT query_id, chunk_id, document_id, sum(share) AS score FROM scoped_shares GROUP BY ALL) " + _ranked("s"))
 def bm25_search_scoped(spark, sf):
