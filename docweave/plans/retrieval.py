@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import access, impact, index, retrieval, vectors
+from docweave.operators import access, impact, index, retrieval, segments, vectors
 from docweave.plans.catalog import query
 from docweave.plans.ctes import define, with_ctes
 from docweave.plans.frames import Frames
-from docweave.runtime import materialize, persist
+from docweave.runtime import materialize, persist, shared_dir
 
 K = 10
 QUERY_CHUNK = "query_id, chunk_id"
@@ -322,3 +324,34 @@ def retrieve(spark, sf):
     corpus = retrieval.build_corpus(f.documents(), materialize(f.ready_chunks()), encoder)
     found = retrieval.retrieve(f.questions(), corpus, 3, scope_of(f), None, encoder)
     return found.select("query_id", "slot", "chunk_id", "document_id", "filename", "relation", "source_no", "score", "content", "reason")
+
+
+def revised_index(f: Frames) -> segments.SegmentedIndex:
+    """The ready chunks after a history of batches: half of the documents come first in an older, shorter form, strangers come and go, then two batches replace or add."""
+    chunks = materialize(f.ready_chunks().select("chunk_id", "document_id", "seq", "content"))
+    built = segments.SegmentedIndex(f.spark, f"{shared_dir(f.spark)}/segments-{uuid.uuid4().hex}", fan=3)
+    odd = F.pmod(F.xxhash64("document_id"), F.lit(4))
+    built.apply(chunks.where((odd < 2) & (F.col("seq") % 2 == 0)))
+    strangers = chunks.where(odd == 3).select((-1 - F.col("chunk_id")).alias("chunk_id"), (-1 - F.col("document_id")).alias("document_id"), "content")
+    built.apply(strangers.unionByName(chunks.where(odd == 2).select("chunk_id", "document_id", "content")))
+    built.apply(chunks.where(odd.isin(0, 3)))
+    built.apply(chunks.where(odd == 1), strangers.select("document_id"))
+    return built
+
+
+@query("segmented_search", sql=with_ctes("shares") + ", s AS (SELECT query_id, chunk_id, document_id, sum(share) AS score FROM shares GROUP BY ALL) "
+       + _ranked("s"))
+def segmented_search(spark, sf):
+    """Search over segments, tombstones and signed statistics: the rows of a fresh build."""
+    f = Frames(spark, sf)
+    return index.bm25_search(index.or_terms(f.questions(), tx.technical_terms("text")), revised_index(f).lexical(), K)
+
+
+@query("segment_frequencies", sql=with_ctes("frequencies", "index_stats") + "SELECT term, df, n_chunks, round(avg_length, 9) AS avg_length FROM frequencies, index_stats")
+def segment_frequencies(spark, sf):
+    """Statistics after all full tiers were merged."""
+    built = revised_index(Frames(spark, sf))
+    built.compact()
+    found = built.lexical()
+    stats = found.stats.first()
+    return found.frequencies.select("term", "df", F.lit(stats["n_chunks"]).alias("n_chunks"), F.round(F.lit(stats["avg_length"]), 9).alias("avg_length"))
