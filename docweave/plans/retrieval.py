@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import access, impact, index, retrieval, segments, vectors
+from docweave.operators import access, cells, impact, index, retrieval, segments, vectors
 from docweave.plans.catalog import query
 from docweave.plans.ctes import define, with_ctes
 from docweave.plans.frames import Frames
@@ -197,6 +197,13 @@ def cosine_topk(spark, sf):
     return vectors.cosine_topk(_vector_questions(f), f.vectors(), 20)
 
 
+@query("pruned_topk", sql=with_ctes("semantic") + "SELECT query_id, chunk_id, document_id, score, rank FROM semantic")
+def pruned_topk(spark, sf):
+    """The rows of ``cosine_topk`` from the cells that can hold them."""
+    f = Frames(spark, sf)
+    return cells.pruned_topk(_vector_questions(f), cells.build_cells(f.vectors()), 20)
+
+
 define("vector_scope", """
     SELECT q.chunk_id AS query_id, d.document_id FROM vectors q, (SELECT DISTINCT document_id FROM vectors) d
     WHERE (d.document_id % 5 <> 0 OR q.chunk_id % 50 = 0 OR (q.chunk_id * 3) % 100 = d.document_id)
