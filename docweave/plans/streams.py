@@ -41,6 +41,13 @@ def admission_batch(spark, sf):
     return admission.admission_batch(requests(Frames(spark, sf).table("events")), 2, 86400)
 
 
+@query("admission_dense", sql=ADMISSION_SQL.replace("user_id", "0").format(limit=3, window=3_600_000_000).replace("PARTITION BY 0 ", ""))
+def admission_dense(spark, sf):
+    """Three events an hour for all users together: one key that holds every event."""
+    events = requests(Frames(spark, sf).table("events")).withColumn("key", F.lit(0).cast("long"))
+    return admission.admission_dense(events, 3, 3600, 1000)
+
+
 @query("admission_event_time", sql=TWO_A_DAY)
 def admission_event_time(spark, sf):
     """The same decisions for events that arrive up to six hours late, in four deliveries, and a closing event that lets the watermark pass."""

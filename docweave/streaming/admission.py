@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from docweave.runtime import broadcast_if_small, materialize, ranked
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "event_id long, key long, at_us long, admitted boolean, retry_after_s double, late boolean"
 
@@ -80,6 +82,57 @@ def admission_batch(events: DataFrame, limit: int, window_s: int) -> DataFrame:
     return ordered.mapInPandas(run, OUTPUT)
 
 
+def chunked(events: DataFrame, chunk_rows: int, window_us: int) -> DataFrame:
+    """Adds ``chunk``: consecutive events of a key and segment, no more than ``chunk_rows``; events are numbered per quarter of a window."""
+    quarter = F.floor(F.col("at_us") / max(1, window_us // 4))
+    numbered = ranked(events, ["key", "segment"], quarter, ["at_us", "event_id"])
+    return numbered.withColumn("chunk", F.floor((F.col("rank") - 1) / chunk_rows)).drop("rank")
+
+
+def admission_dense(events: DataFrame, limit: int, window_s: int, chunk_rows: int = 50_000) -> DataFrame:
+    """``admission_batch`` for keys without event-free windows, spread over many tasks.
+
+    A decision depends on those before it, so chunks of a key start from an assumed state: first all run from an
+    empty one, then each takes the state in which the chunk before it ended and runs again if that differs from
+    what it had assumed. Once no chunk differs every one started from its true state, and a last pass decides. Chunks
+    soon forget how they started unless the limit binds without a pause; at worst a round settles one
+    chunk of each key, never fewer, so the rounds end.
+    """
+    window_us = window_s * 1_000_000
+    placed = materialize(chunked(segments(events.select("event_id", "key", "at_us"), window_us), chunk_rows, window_us))
+    keys = ["key", "segment", "chunk"]
+
+    def passed(entries: DataFrame, rows: DataFrame, decide: bool) -> DataFrame:
+        """One pass of the chunks of ``entries``: their decisions, or the state in which they end."""
+        def run(state: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+            batch = batch.sort_values(["at_us", "event_id"])
+            held = deque(int(at) for at in state["entry"].iloc[0]) if len(state) else deque()
+            decisions = admit(batch["at_us"].tolist(), limit, window_us, held)
+            if decide:
+                return batch[["event_id", "key", "at_us"]].assign(admitted=[d[0] for d in decisions], retry_after_s=[d[1] for d in decisions], late=False)
+            return batch[keys].iloc[:1].assign(ended=[list(held)])
+
+        schema = OUTPUT if decide else "key long, segment long, chunk long, ended array<long>"
+        return entries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(run, schema)
+
+    before = Window.partitionBy("key", "segment").orderBy("chunk")
+    starts = materialize(placed.groupBy(*keys).agg(F.min("at_us").alias("first_at")))
+    entries = starts.withColumn("entry", F.array().cast("array<bigint>"))
+    ends = materialize(passed(entries, placed, False))
+    while True:
+        # What the chunk before left behind, as far as it still counts at the first event.
+        left = F.coalesce(F.lag("ended").over(before), F.array().cast("array<bigint>"))
+        follow = starts.join(ends, keys).withColumn("left", left).select(
+            *keys, F.filter("left", lambda at: at > F.col("first_at") - window_us).alias("left"))
+        compared = materialize(entries.join(follow, keys))
+        wrong = compared.where("left <> entry").select(*keys, F.col("left").alias("entry"))
+        if not wrong.limit(1).count():
+            return passed(entries, placed, True)
+        again = passed(wrong, placed.join(broadcast_if_small(wrong.select(*keys)), keys, "left_semi"), False)
+        ends = materialize(ends.join(wrong, keys, "left_anti").unionByName(again))
+        entries = materialize(compared.select(*keys, F.col("left").alias("entry")).join(starts, keys))
+
+
 class AdmissionProcessor(StatefulProcessor):
     """Keeps the admitted times of a key; events behind the last seen time of their key come out as late and are not decided."""
 

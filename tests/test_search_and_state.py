@@ -2,6 +2,8 @@
 
 import math
 import random
+
+import pytest
 from collections import deque
 
 from pyspark.sql import functions as F
@@ -269,6 +271,19 @@ def test_admission_batch_and_stream_agree(spark, tmp_path):
     assert all(not (a[0] == b[0] and b[1] - a[1] < 10_000_000) for a, b in zip(admitted, admitted[3:]))
 
 
+@pytest.mark.parametrize("step, limit, window_s", [(40_000, 3, 1), (2_000_000, 1, 7)])
+def test_dense_keys_decide_as_the_walk(spark, step, limit, window_s):
+    """One key of 30,000 events without a gap in 15 chunks, and small keys beside it; ties included."""
+    rng, at, events = random.Random(step), 0, []
+    for n in range(30_000):
+        at += rng.choice([0, rng.randint(1, step)])
+        events.append((n, 0, at))
+    events += [(40_000 + n, 1 + n % 50, rng.randint(0, 10 ** 9)) for n in range(500)]
+    frame = spark.createDataFrame(events, "event_id long, key long, at_us long")
+    got = {r["event_id"]: r["admitted"] for r in admission.admission_dense(frame, limit, window_s, 2000).collect()}
+    assert got == brute_admission(events, limit, window_s * 1_000_000) and 0 < sum(got.values()) < len(got)
+
+
 ADMISSION = "event_id long, key long, at_us long"
 
 
