@@ -27,9 +27,11 @@ def conversation_list(conversations: DataFrame, turns: DataFrame) -> DataFrame:
         F.col("updated_epoch").desc(), F.col("conversation_id").desc())
 
 
-def page_of(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """One page of an ordered listing; at most 200 rows as in every listing."""
-    return rows.offset(max(0, offset)).limit(max(1, min(limit, 200)))
+def page_of(rows: DataFrame, limit: int, offset: int = 0, most: int | None = None) -> DataFrame:
+    """One page of an ordered listing, as long as asked; a service that bounds its pages names ``most``, and a larger page is refused, not cut."""
+    if limit < 1 or offset < 0 or (most is not None and limit > most):
+        raise ValueError(f"no page of {limit} rows from {offset}" + ("" if most is None else f", at most {most}"))
+    return rows.offset(offset).limit(limit)
 
 
 def assign_turns(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -159,12 +161,12 @@ def build_followup(requests: DataFrame, turns: DataFrame) -> DataFrame:
 # --- listings -----------------------------------------------------------------------------------
 
 
-def newest(rows: DataFrame, key: str, limit: int = 50, offset: int = 0, **equals) -> DataFrame:
+def newest(rows: DataFrame, key: str, limit: int = 50, offset: int = 0, most: int | None = None, **equals) -> DataFrame:
     """Filtered rows, newest first, with the total of the filter; paging is a distributed top-n."""
     for column, value in equals.items():
         rows = rows.where(F.col(column) == value)
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return page_of(rows.orderBy(F.col(key).desc()), limit, offset).withColumn("total", total)
+    return page_of(rows.orderBy(F.col(key).desc()), limit, offset, most).withColumn("total", total)
 
 
 def wrap_legacy_turns(turns: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

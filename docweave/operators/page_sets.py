@@ -13,14 +13,13 @@ MIN_PAGE_CHARS = 10
 MAX_GARBLE = 0.02
 MAX_PAGES = 50
 MAX_PAGE_CHARS = 4_000_000
-MAX_UNCERTAIN = 50
 STATUSES = ("ok", "suspect", "failed")
 
 
-def page_quality(lines: DataFrame) -> DataFrame:
+def page_quality(lines: DataFrame, most_uncertain: int | None = None) -> DataFrame:
     """Scores, warnings and status per page from recognised lines.
 
-    A page holds few lines, and the counts combine map-side; the text of a page is gathered only
+    ``uncertain_lines`` lists all lines of a low score, or the first ``most_uncertain``. A page holds few lines, and the counts combine map-side; the text of a page is gathered only
     within its own (document, page) group.
     """
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "text", "score")))
@@ -33,7 +32,9 @@ def page_quality(lines: DataFrame) -> DataFrame:
     quality = tx.text_quality("text")
     scored = F.col("unscored") == 0
     first = F.get(F.col("_lines"), F.lit(0))["line_no"]
-    uncertain = F.slice(F.filter("_lines", lambda x: x["score"] < LINE_SCORE), 1, MAX_UNCERTAIN)
+    uncertain = F.filter("_lines", lambda x: x["score"] < LINE_SCORE)
+    if most_uncertain is not None:
+        uncertain = F.slice(uncertain, 1, most_uncertain)
     pages = computed(pages.withColumn("text", text), "_q", quality)
     warnings = F.filter(F.array(
         F.when(scored & (F.col("low_lines") > 0), F.lit("low_confidence_line")),
@@ -47,6 +48,16 @@ def page_quality(lines: DataFrame) -> DataFrame:
         warnings.alias("warnings"), F.when(F.size(warnings) > 0, "suspect").otherwise("ok").alias("status"))
 
 
+def uncertain_lines(lines: DataFrame) -> DataFrame:
+    """(document_id, page, line, text, score): every line of a low score on pages whose lines all have one, numbered from 1.
+
+    Only one row per page is aggregated; the lines are not gathered.
+    """
+    pages = lines.groupBy("document_id", "page").agg(F.min("line_no").alias("_first"), F.count_if(F.col("score").isNull()).alias("_unscored"))
+    low = lines.where(F.col("score") < LINE_SCORE).join(pages.where("_unscored = 0"), ["document_id", "page"])
+    return low.select("document_id", "page", (F.col("line_no") - F.col("_first") + 1).cast("long").alias("line"), "text", "score")
+
+
 def page_summary(pages: DataFrame) -> DataFrame:
     def count(status: str) -> Column:
         return F.count_if(F.col("status") == status).alias(f"{status}_pages")

@@ -201,6 +201,16 @@ def page_quality(spark, sf):
         "document_id", "page", "chars", "line_count", "mean_score", "min_score", "status")
 
 
+@query("uncertain_lines", sql=with_ctes("scanned_lines") + """
+    SELECT document_id, page, line_no - first + 1 AS line, text, score
+    FROM (SELECT *, min(line_no) OVER (PARTITION BY document_id, page) AS first FROM scanned_lines) WHERE score < 0.6""")
+def uncertain_lines(spark, sf):
+    """Every low line of every page; the page records of the same tables list them all, too."""
+    lines = Frames(spark, sf).scanned_lines()
+    listed = page_sets.page_quality(lines).select("document_id", "page", F.explode("uncertain_lines").alias("line"))
+    return page_sets.uncertain_lines(lines).join(listed, ["document_id", "page", "line"])
+
+
 def _ocr_pages(spark, sf):
     pages = page_sets.page_quality(Frames(spark, sf).scanned_lines())
     return pages.select("document_id", "page", "text", F.when(

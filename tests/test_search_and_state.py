@@ -324,3 +324,23 @@ def test_stream_ingest_replaces_and_deduplicates(spark, tmp_path):
     assert got == {(1, "one"), (2, "two!!")}
     refused = {(r["document_id"], r["error_code"]) for r in spark.read.parquet(f"{target}/quarantine").collect()}
     assert refused == {(3, "unsupported_ext"), (4, "duplicate")}
+
+
+def test_pages_are_as_long_as_asked_or_refused(spark):
+    from docweave.operators import conversations as cv
+    rows = spark.range(500).orderBy("id")
+    assert cv.page_of(rows, 300, 50).count() == 300 and cv.page_of(rows, 1000).count() == 500
+    assert [r["id"] for r in cv.newest(spark.range(500), "id", 250, most=250).limit(2).collect()] == [499, 498]
+    for limit, offset, most in ((0, 0, None), (5, -1, None), (201, 0, 200)):
+        with pytest.raises(ValueError):
+            cv.page_of(rows, limit, offset, most)
+
+
+def test_all_uncertain_lines_are_listed(spark):
+    from docweave.operators import page_sets
+    lines = spark.createDataFrame([(1, 1, 10 + n, f"line {n}", 0.1 if n % 2 else 0.9) for n in range(200)] + [(1, 2, 1, "x", None), (1, 2, 2, "y", 0.1)],
+                                  "document_id long, page long, line_no long, text string, score double")
+    expected = list(range(2, 201, 2))
+    assert sorted(r["line"] for r in page_sets.uncertain_lines(lines).collect()) == expected
+    whole, cut = (page_sets.page_quality(lines, most).where("page = 1").first()["uncertain_lines"] for most in (None, 50))
+    assert whole == expected and cut == expected[:50]
