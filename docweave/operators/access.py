@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave.functions import text as tx
-from docweave.runtime import materialize, salted_join
+from docweave.runtime import materialize, ranked, salted_join
 from docweave.sources.metadata import source_type
 
 ADMIN_ROLES = ("root", "kb_admin")
@@ -227,6 +227,20 @@ def group_overview(members: DataFrame, grants: DataFrame) -> DataFrame:
         F.coalesce("document_count", F.lit(0)).alias("document_count"))
 
 
+def group_members(members: DataFrame) -> DataFrame:
+    """(group_id, user_id, position): the members of each group as rows, numbered by user; a large group is numbered bucket by bucket."""
+    return ranked(members.select("group_id", "user_id").distinct(), ["group_id"], F.floor(F.col("user_id") / 1024), ["user_id"], "position")
+
+
+def group_listing(groups: DataFrame, members: DataFrame, grants: DataFrame) -> DataFrame:
+    """Every group with its own columns, its number of members and of granted documents; none is left out."""
+    people = members.select("group_id", "user_id").distinct().groupBy("group_id").agg(F.count(F.lit(1)).alias("member_count"))
+    documents = (grants.where(F.col("subject_type") == "group").select(F.col("subject_id").alias("group_id"), "document_id").distinct()
+                 .groupBy("group_id").agg(F.count(F.lit(1)).alias("document_count")))
+    return groups.join(people, "group_id", "left").join(documents, "group_id", "left").withColumns({
+        name: F.coalesce(name, F.lit(0)) for name in ("member_count", "document_count")})
+
+
 def grantable_users(users: DataFrame) -> DataFrame:
     return users.where(F.col("role") != "root").select("user_id", "username", "role", "is_active").orderBy("username")
 

@@ -9,7 +9,7 @@ from docweave.functions.matching import contained_terms
 from docweave.operators.access import COMMON_DEVICE, Scope
 from docweave.operators.index import top_per_query
 from docweave.runtime import computed
-from docweave.sources.metadata import parse_source_metadata
+from docweave.sources.metadata import parse_source_metadata, source_type
 
 OCR_FAILED, OCR_SUSPECT = r"^ocr_failed_pages=", r"^ocr_suspect_pages="
 # Reasons of the inspection summary, in their order.
@@ -62,11 +62,20 @@ def search_totals(matches: DataFrame) -> DataFrame:
     return matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
 
 
-def search_facets(matches: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits per document, ordered by hits and file name."""
+def search_facets(matches: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hits per document with its device and source type; with ``limit`` the first documents per question, by hits and file name.
+
+    ``source_metadata`` and ``content_type`` may be absent.
+    """
+    for name in ("source_metadata", "content_type"):
+        if name not in documents.columns:
+            documents = documents.withColumn(name, F.lit(None).cast("string"))
     hits = matches.groupBy("query_id", "document_id").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.join(documents.select("document_id", "filename", "device"), "document_id").orderBy(
-        "query_id", F.col("hits").desc(), tx.ascii_lower("filename"))
+    kind = source_type("source_metadata", "content_type", "filename").alias("source_type")
+    found = hits.join(documents.select("document_id", "filename", "device", kind), "document_id")
+    if limit is None:
+        return found
+    return top_per_query(found, limit, F.col("hits").desc(), tx.ascii_lower("filename"), F.col("document_id"))
 
 
 def nonempty(content="content") -> Column:

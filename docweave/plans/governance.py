@@ -148,6 +148,23 @@ def group_overview(spark, sf):
     return access.group_overview(f.members(), f.grants())
 
 
+@query("group_members", sql=with_ctes("members") + """
+    SELECT group_id, user_id, row_number() OVER (PARTITION BY group_id ORDER BY user_id) AS position FROM (SELECT DISTINCT group_id, user_id FROM members)""")
+def group_members(spark, sf):
+    return access.group_members(Frames(spark, sf).members())
+
+
+@query("group_listing", sql=with_ctes("members", "grants") + """
+    SELECT g.group_id, g.name, (SELECT count(DISTINCT m.user_id) FROM members m WHERE m.group_id = g.group_id) AS member_count,
+           (SELECT count(DISTINCT a.document_id) FROM grants a WHERE a.subject_type = 'group' AND a.subject_id = g.group_id) AS document_count
+    FROM (SELECT DISTINCT nationkey AS group_id, name FROM (SELECT n_nationkey AS nationkey, n_name AS name FROM nation)) g""")
+def group_listing(spark, sf):
+    """Groups named by the nations; those without a member or a grant are listed, too."""
+    f = Frames(spark, sf)
+    groups = f.table("nation").select(F.col("n_nationkey").cast("long").alias("group_id"), F.col("n_name").alias("name"))
+    return access.group_listing(groups, f.members(), f.grants())
+
+
 @query("grantable_users", sql=with_ctes("users") + "SELECT user_id, username, role, is_active FROM users WHERE role <> 'root'")
 def grantable_users(spark, sf):
     return access.grantable_users(Frames(spark, sf).users())
@@ -220,12 +237,32 @@ def search_totals(spark, sf):
     return corpus.search_totals(corpus.keyword_matches(keywords(f), f.chunks()))
 
 
-@query("search_facets", sql=with_ctes("keyword_hits", "docs") + """
-    SELECT query_id, document_id, any_value(d.filename) AS filename, any_value(d.device) AS device, count(*) AS hits
-    FROM keyword_hits JOIN docs d USING (document_id) GROUP BY query_id, document_id""")
+def sourced(documents):
+    """Documents of all source types: some come from the web, some are logs, some are images."""
+    d = F.col("document_id")
+    return documents.withColumns({
+        "source_metadata": F.when(d % 6 == 0, '{"kind": "web"}').when(d % 7 == 0, '{"kind":"log"}'),
+        "content_type": F.when(d % 13 == 0, "image/png").otherwise(F.col("content_type"))})
+
+
+define("facets", """
+    SELECT query_id, document_id, any_value(d.filename) AS filename, any_value(d.device) AS device, count(*) AS hits,
+           CASE WHEN document_id % 6 = 0 THEN 'web' WHEN document_id % 7 = 0 THEN 'log' WHEN document_id % 13 = 0 THEN 'image' ELSE 'file' END AS source_type
+    FROM keyword_hits JOIN docs d USING (document_id) GROUP BY query_id, document_id""", "keyword_hits", "docs")
+
+
+@query("search_facets", sql=with_ctes("facets") + "SELECT * FROM facets")
 def search_facets(spark, sf):
     f = Frames(spark, sf)
-    return corpus.search_facets(corpus.keyword_matches(keywords(f), f.chunks()), f.documents())
+    return corpus.search_facets(corpus.keyword_matches(keywords(f), f.chunks()), sourced(f.documents()))
+
+
+@query("search_facets_page", sql=with_ctes("facets") + """
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, lower(filename), document_id) AS rank FROM facets QUALIFY rank <= 5""")
+def search_facets_page(spark, sf):
+    """The five documents with most hits of every question."""
+    f = Frames(spark, sf)
+    return corpus.search_facets(corpus.keyword_matches(keywords(f), f.chunks()), sourced(f.documents()), 5)
 
 
 # --- inspection ---------------------------------------------------------------------------------
