@@ -271,12 +271,19 @@ def render_selection(requests: DataFrame, selections: DataFrame) -> DataFrame:
     Selections: request_id, purpose, chunk_ids. Chosen ids must be in the packet and distinct. Only
     excerpts can be answered from documents; current values and on-site remedies never can.
     """
-    packet = requests.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id", "content"))).alias("_p"))
-    rows = selections.join(packet, "request_id", "left")
-    ids = F.transform("_p", lambda p: p["chunk_id"])
-    numbered = F.transform("_p", lambda p, i: F.struct((i + 1).alias("n"), p["chunk_id"].alias("chunk_id"), p["content"].alias("content")))
-    blocks = F.filter(numbered, lambda b: F.array_contains("chunk_ids", b["chunk_id"]))
-    reason = (F.when(F.col("_p").isNull(), "unknown_request").when(F.size(F.array_distinct("chunk_ids")) != F.size("chunk_ids"), "invalid_selection")
+    numbered = ranked(requests.select("request_id", "position", "chunk_id", "content"), ["request_id"], F.floor(F.col("position") / DIGEST_BUCKET),
+                      ["position", "chunk_id", "content"], "n")
+    # Of a packet only the chosen excerpts come together.
+    asked = selections.select("request_id", "chunk_ids").distinct()
+    chosen = (asked.select("request_id", "chunk_ids", F.explode(F.array_distinct("chunk_ids")).alias("chunk_id")).join(numbered, ["request_id", "chunk_id"])
+              .groupBy("request_id", "chunk_ids").agg(F.array_sort(F.collect_list(F.struct("n", "chunk_id", "content"))).alias("_p")))
+    known = requests.select("request_id").distinct().withColumn("_known", F.lit(True))
+    rows = (selections.join(known, "request_id", "left")
+            .join(chosen.withColumnsRenamed({"request_id": "_request", "chunk_ids": "_chosen"}),
+                  (F.col("request_id") == F.col("_request")) & F.col("chunk_ids").eqNullSafe(F.col("_chosen")), "left"))
+    blocks = F.coalesce("_p", F.array().cast(chosen.schema["_p"].dataType))
+    ids = F.transform(blocks, lambda b: b["chunk_id"])
+    reason = (F.when(F.col("_known").isNull(), "unknown_request").when(F.size(F.array_distinct("chunk_ids")) != F.size("chunk_ids"), "invalid_selection")
               .when(F.size(F.array_except("chunk_ids", ids)) > 0, "unknown_source").when(~F.col("purpose").isin(*PURPOSES), "unsupported_request_purpose"))
     status = (F.when(reason.isNotNull(), "invalid").when(F.col("purpose") != "source_excerpt", "insufficient")
               .when(F.size("chunk_ids") == 0, "insufficient").otherwise("source_excerpt"))

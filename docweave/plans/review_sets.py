@@ -256,6 +256,19 @@ def render_selection(spark, sf):
     return rv.render_selection(rows, selections(f)).select("request_id", "purpose", "status", "text")
 
 
+@query("render_selection_ends", sql=with_ctes("lines") + """,
+    n AS (SELECT document_id, count(*) AS n, max(seq) AS last FROM lines GROUP BY document_id)
+    SELECT a.document_id AS request_id, 'source_excerpt' AS status, CASE WHEN n = 1 THEN '[1] ' || a.content
+           ELSE '[1] ' || a.content || chr(10) || chr(10) || '[' || n || '] ' || z.content END AS text
+    FROM n JOIN lines a ON a.document_id = n.document_id AND a.seq = 0 JOIN lines z ON z.document_id = n.document_id AND z.seq = n.last""")
+def render_selection_ends(spark, sf):
+    """Each packet, a whole document, is asked for its last and its first chunk; they come in the order of the packet."""
+    rows = Frames(spark, sf).chunks().select(F.col("document_id").alias("request_id"), F.col("seq").alias("position"), "chunk_id", "content")
+    ends = F.array_distinct(F.array(F.max("chunk_id"), F.min("chunk_id"))).alias("chunk_ids")
+    asked = rows.groupBy("request_id").agg(ends).withColumn("purpose", F.lit("source_excerpt"))
+    return rv.render_selection(rows, asked).select("request_id", "status", "text")
+
+
 @query("overall_status", sql=with_ctes("docs") + """
     SELECT document_id AS request_id, 2 AS purposes, CASE WHEN document_id % 9 = 0 THEN 'invalid' WHEN document_id % 5 = 0 THEN 'insufficient' ELSE 'partial' END AS status FROM docs""")
 def overall_status(spark, sf):
