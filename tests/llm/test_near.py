@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import helpers as h
 from docweave.llm import decontamination as dc, jaccard_join as jj, licenses, line_dedup as ld
+from docweave.llm.arrays import text_bytes
 from docweave.llm.components import components
 
 
@@ -338,6 +339,41 @@ def test_decontamination_finds_near_copies_alone(spark, way):
         assert r.distance == dc.part_distance(items[n][1], plain[n], len(items[n][1])) and abs(r.first_word - 30) <= 2
 
 
+def test_decontamination_of_short_items_and_unspaced_scripts(spark):
+    script = "".join(chr(0x4E00 + n * n % 2000) for n in range(40))
+    items = spark.createDataFrame([(1, "rare pair"), (2, script), (3, "a"), (4, "x" * 40)], "item_id long, text string")
+    texts = ["It is a Rare, pair", "rare pairs b", "unrare pair", "頭" + script + "尾", script[:20] + "頭" + script[21:], "b" * 60]
+    found = {(r.doc_id, r.item_id): r for r in dc.matches(h.documents(spark, texts).withColumn("text_hash", F.xxhash64("text")), items).collect()}
+    assert {k: (r.distance, r.first_word) for k, r in found.items()} == {(0, 1): (0, 3), (0, 3): (0, 2), (3, 2): (0, 0), (4, 2): (1, 0)}
+
+
+def test_walks_keep_edits_apart_from_other_texts():
+    texts = [h.prose(("walk", n).__hash__(), 30) for n in range(60)]
+    items = dc.Items(list(enumerate(texts)))
+
+    def keys(changed):
+        data, places = dc.stacked([t.encode() for t in changed], 2 * items.longest)
+        return dc.sampled(dc.walks(data, places, 2 * items.longest), items.sizes)
+
+    def met(changed):
+        return (keys(changed) == items.keys).any(axis=(1, 2)).mean()
+
+    assert met(texts) == 1 and (keys(texts) == items.keys).all()
+    assert met([spoiled(t, 0.2, n)[:len(t)] for n, t in enumerate(texts)]) >= 0.95
+    assert met(texts[1:] + texts[:1]) <= 0.2
+
+
+def test_windows_in_long_streams(spark):
+    """A copy is found wherever it lies, also across the pieces a long text is read by."""
+    item = h.prose("here", 30)
+    filler = h.prose("filler", 40_000)
+    for at in (0, 65_300, 65_536, 130_000, len(filler)):
+        text = filler[:at] + " " + item + " " + filler[at:]
+        joined, _, _ = dc.normal_bytes(*text_bytes(pa.array([text])))
+        items = dc.Items([(7, item)])
+        assert any(dc.part_distance(item, joined[low:high].tobytes().decode(), 0) == 0 for _, low, high in items.areas(joined)), at
+
+
 def test_within():
     rng = random.Random(6)
     for _ in range(200):
