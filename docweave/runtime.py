@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # A broadcast side above this many estimated bytes takes the shuffled or sliced way instead.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -85,24 +85,28 @@ def persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def estimated_bytes(df: DataFrame, *columns: str, overhead: int = 24) -> int:
-    """Exact serialized size of the named columns, by one distributed aggregate."""
-    width = F.lit(overhead)
-    for name in columns:
-        kind = df.schema[name].dataType.typeName()
-        if kind in ("string", "binary"):
-            width = width + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
-        elif kind == "array":
-            element = df.schema[name].dataType.elementType.typeName()
-            if element == "string":
-                width = width + F.coalesce(
-                    F.aggregate(name, F.lit(0), lambda acc, x: acc + F.octet_length(x) + 8), F.lit(0))
-            else:
-                width = width + F.coalesce(F.size(name), F.lit(0)) * 8
-        else:
-            width = width + 8
-    total = df.agg(F.sum(width.cast("long")).alias("total")).first()["total"]
-    return int(total or 0)
+def width(value, kind: T.DataType):
+    """Bytes of a value in a row, with all that it holds; a null takes its fixed place only."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(8) + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.NumericType, T.BooleanType, T.DatetimeType)):
+            return F.lit(16) + F.coalesce(F.array_size(value), F.lit(0)) * 8
+        return F.lit(16) + F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + width(x, kind.elementType)), F.lit(0))
+    if isinstance(kind, T.MapType):
+        return width(F.map_keys(value), T.ArrayType(kind.keyType)) + width(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return sum((width(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def estimated_bytes(df: DataFrame, *columns: str, overhead: int = 48) -> int:
+    """Size of the named columns, of all without names, by one distributed aggregate.
+
+    ``overhead`` is what a row costs beside its values in a hash table: its head, the key and the place in the table.
+    """
+    total = sum((width(F.col(f"`{name}`"), df.schema[name].dataType) for name in columns or df.columns), F.lit(overhead))
+    return int(df.agg(F.sum(total.cast("long")).alias("total")).first()["total"] or 0)
 
 
 def broadcast_if_small(df: DataFrame, *columns: str, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
