@@ -8,6 +8,7 @@ from docweave.functions import text as tx
 from docweave.functions.matching import contained_terms
 from docweave.operators.access import COMMON_DEVICE, Scope
 from docweave.operators.index import top_per_query
+from docweave.operators.substrings import GramIndex, holding_all
 from docweave.runtime import computed
 from docweave.sources.metadata import parse_source_metadata, source_type
 
@@ -22,13 +23,17 @@ def search_terms(query) -> Column:
     return F.filter(F.split(tx.strip(query), r"(?U)\s+"), lambda w: w != "")
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return computed(queries, "_terms", F.array_distinct(F.transform(search_terms("text"), tx.ascii_lower))).where(F.size("_terms") > 0)
+
+
 def keyword_matches(queries: DataFrame, chunks: DataFrame, scope: Scope | None = None) -> DataFrame:
     """(query_id, chunk_id, document_id) of ready chunks that hold every term, ASCII case-insensitively.
 
     Queries: query_id, text, and optionally include_archived, page, device, source_types. Chunks:
     chunk_id, document_id, content, status, lifecycle, and page, device, source_type when filtered.
     """
-    asked = computed(queries, "_terms", F.array_distinct(F.transform(search_terms("text"), tx.ascii_lower))).where(F.size("_terms") > 0)
+    asked = asked_terms(queries)
     wanted = asked.select("query_id", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
     ready = chunks.where(F.col("status") == "ready")
     columns = [c for c in ("document_id", "lifecycle", "filename", "seq", "page", "device", "source_type") if c in chunks.columns]
@@ -36,6 +41,24 @@ def keyword_matches(queries: DataFrame, chunks: DataFrame, scope: Scope | None =
     texts = contained_terms(ready, "chunk_id", "content", wanted, columns)
     full = (texts.join(wanted, "term").groupBy("chunk_id", "query_id", "_n", *columns).agg(F.count(F.lit(1)).alias("_hits"))
             .where(F.col("_hits") == F.col("_n")).select("query_id", "chunk_id", *columns))
+    return filtered_matches(full, asked, scope)
+
+
+def indexed_keyword_matches(queries: DataFrame, chunks: DataFrame, index: GramIndex, scope: Scope | None = None) -> DataFrame:
+    """The rows of ``keyword_matches`` through a substring index of the chunk texts.
+
+    The index may hold more chunks than the table has now; those that are gone or not ready are not found.
+    """
+    asked = asked_terms(queries)
+    ready = chunks.where(F.col("status") == "ready")
+    columns = [c for c in ("document_id", "lifecycle", "filename", "seq", "page", "device", "source_type") if c in chunks.columns]
+    held = holding_all(asked.select("query_id", F.col("_terms").alias("terms")), index, ready)
+    return filtered_matches(held.join(ready.select("chunk_id", *columns), "chunk_id"), asked, scope)
+
+
+def filtered_matches(full: DataFrame, asked: DataFrame, scope: Scope | None = None) -> DataFrame:
+    """Matches that the filters of their question and its scope let through."""
+    columns = full.columns
     rows = full.join(
         asked.select("query_id", *[F.col(c).alias(f"_want_{c}") for c in (
             "include_archived", "page", "device", "source_types") if c in asked.columns]), "query_id")

@@ -9,8 +9,9 @@ from docweave.plans.catalog import query
 from docweave.plans.chunk_index import caption_index, captioned
 from docweave.plans.ctes import define, with_ctes
 from docweave.plans.frames import Frames
+from docweave.plans.governance import gram_index
 from docweave.plans.retrieval import bm25_candidates
-from docweave.runtime import persist
+from docweave.runtime import materialize, persist
 from docweave.sources import html
 
 
@@ -188,6 +189,18 @@ def literal_candidates(spark, sf):
     return completion.literal_candidates(_literals(f), f.ready_chunks()).select("query_id", "literal", "document_id", "chunk_id", "row_no")
 
 
+@query("literal_matches", sql=with_ctes("ready_chunks", "phrase_literals") + """
+    SELECT p.query_id, p.literal, c.document_id, c.chunk_id FROM phrase_literals p JOIN ready_chunks c
+      ON contains(translate(c.content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  translate(p.literal, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) WHERE p.literal IS NOT NULL""")
+def literal_matches(spark, sf):
+    """Every chunk that states a literal, of all documents, through the substring index."""
+    f = Frames(spark, sf)
+    chunks = materialize(f.ready_chunks())
+    hits = completion.literal_hits(_literals(f), chunks, index=gram_index(spark, chunks))
+    return hits.where("exact").select("query_id", "literal", "document_id", "chunk_id")
+
+
 @query("attach_literals")
 def attach_literals(spark, sf):
     f = Frames(spark, sf)

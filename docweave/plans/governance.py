@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from docweave.operators import access, corpus
+from docweave.operators import access, corpus, substrings
 from docweave.plans.catalog import query
 from docweave.plans.ctes import define, with_ctes
 from docweave.plans.frames import Frames
 from docweave.plans.retrieval import scope_of
+from docweave.runtime import materialize, shared_dir
 
 K = 20
 
@@ -231,6 +234,41 @@ def keyword_search_filtered(spark, sf):
     return corpus.keyword_matches(asked, chunks, scope_of(f)).select("query_id", "chunk_id", "document_id")
 
 
+def gram_index(spark, chunks):
+    """Substring index of the chunks, written to the shared folder and read back."""
+    path = f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}"
+    substrings.write_index(chunks, path)
+    return substrings.read_index(spark, path)
+
+
+@query("keyword_search_indexed", sql=with_ctes("chunks") + """,
+    asked AS (SELECT item_id AS query_id, item_id % 4 = 0 AS include_archived, list_filter(regexp_split_to_array(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+'), lambda w: w <> '') AS terms FROM benchmark),
+    lowered AS (SELECT *, translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM chunks WHERE status = 'ready')
+    SELECT a.query_id, c.chunk_id, c.document_id FROM asked a JOIN lowered c
+      ON len(a.terms) > 0 AND (c.lifecycle = 'active' OR a.include_archived) AND list_bool_and(list_transform(a.terms, lambda w: contains(c.low, w)))""")
+def keyword_search_indexed(spark, sf):
+    """All words of whole questions, through the substring index."""
+    f = Frames(spark, sf)
+    asked = f.table("benchmark").select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % 4 == 0).alias("include_archived"))
+    chunks = materialize(f.chunks())
+    return corpus.indexed_keyword_matches(asked, chunks, gram_index(spark, chunks)).select("query_id", "chunk_id", "document_id")
+
+
+@query("substring_frequencies", sql=with_ctes("chunks") + """,
+    words AS (SELECT DISTINCT unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+')) AS term FROM benchmark),
+    terms AS (SELECT term FROM words WHERE length(term) BETWEEN 1 AND 4 UNION SELECT term[1:1] FROM words WHERE term <> '')
+    SELECT term, count(*) AS chunks FROM terms JOIN chunks
+      ON contains(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), term) GROUP BY term""")
+def substring_frequencies(spark, sf):
+    """Chunks that hold each short word of the questions, and each sign that begins a word."""
+    f = Frames(spark, sf)
+    words = f.table("benchmark").select(F.explode(corpus.search_terms("text")).alias("term"))
+    terms = words.where(F.length("term") <= 4).unionByName(words.select(F.substring("term", 1, 1).alias("term")))
+    chunks = materialize(f.chunks())
+    return substrings.found_terms(terms, gram_index(spark, chunks), chunks).groupBy("term").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 @query("search_totals", sql=with_ctes("keyword_hits") + "SELECT query_id, count(*) AS total FROM keyword_hits GROUP BY query_id")
 def search_totals(spark, sf):
     f = Frames(spark, sf)
