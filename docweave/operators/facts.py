@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docweave.functions import text as tx
 from docweave.functions.matching import contained_terms
-from docweave.runtime import computed, persist
+from docweave.operators.mentions import mentioned_names
+from docweave.runtime import computed, materialize, salted_join
 
 # Column labels per role, time units and patterns of the definitions.
 COLUMN_LABELS = {
@@ -104,15 +105,14 @@ def table_lookup(questions: DataFrame, cells: DataFrame) -> DataFrame:
     status: answer, or clarification when several names match or the index disagrees; ``differing``
     marks records that do not agree, all of which are listed.
     """
-    cells = persist(cells)
-    records = persist(table_records(cells, bind_headers(cells)))
+    cells = materialize(cells)
+    records = materialize(table_records(cells, bind_headers(cells)))
     row_key = ["document_id", "sheet", "row", "chunk_id"]
     names = records.where("role = 'name'").select(*row_key, tx.ascii_lower(F.trim("value")).alias("term"), F.trim("value").alias("_name")).where(F.length("term") >= 3)
     number = F.array_distinct(tx.extract_all("text", PARAMETER_NUMBER, 1))
     asked = questions.select("query_id", "text", number.alias("_numbers"))
-    mentioned = contained_terms(asked, "query_id", "text", names.select("term")).join(asked, "query_id")
-    whole = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), quoted("term"), F.lit(r"(?![A-Za-z0-9_])"))
-    by_name = mentioned.where(F.regexp_like("text", whole)).join(names, "term")
+    mentioned = mentioned_names(asked, "query_id", "text", names.select("term"), shortest=3).join(asked, "query_id")
+    by_name = salted_join(mentioned, names, ["term"], "inner", "query_id")
     index = records.where("role = 'index'").select(*row_key, F.trim("value").alias("_index"))
     by_name = by_name.join(index, row_key, "left")
     verdict = by_name.groupBy("query_id").agg(

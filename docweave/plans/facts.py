@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.operators import facts, units
+from docweave.operators.mentions import mentioned_names
 from docweave.plans.catalog import query
 from docweave.plans.ctes import with_ctes
 from docweave.plans.evidence import table_chunks
@@ -46,6 +47,19 @@ def table_lookup(spark, sf):
     return facts.table_lookup(asked, part_cells(f)).select("query_id", "status", "differing", "sheet", "row", "role", "value")
 
 
+@query("names_in_documents", sql="""
+    WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    asked AS (SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')) AS term FROM benchmark),
+    said AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[a-z0-9_]+')) AS term FROM low)
+    SELECT term, count(*) AS documents FROM said JOIN asked USING (term) WHERE length(term) >= 3 GROUP BY term""")
+def names_in_documents(spark, sf):
+    """Documents that state each word of the questions as a whole name."""
+    f = Frames(spark, sf)
+    names = f.table("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("term"))
+    found = mentioned_names(f.documents(), "document_id", "text", names, shortest=3)
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query("table_lookup_by_index", sql="""
     SELECT p_partkey AS query_id, 'answer' AS status, unnest(['index','name','description','value']) AS role,
            unnest([CAST(p_partkey AS VARCHAR), p_name, p_type, CAST(p_size AS VARCHAR)]) AS value FROM part WHERE p_partkey < 1000""")
