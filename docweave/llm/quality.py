@@ -3,7 +3,8 @@
 Tokens are runs of letters and digits, runs of other visible signs, and line breaks, so markup and shouting
 are tokens too. Features are the hashes of one and two consecutive tokens, weighted by log(1 + count) and
 normalised to length 1, plus one for the logarithm of the token count. Shards of the labelled rows train
-one FTRL-proximal model each; their weights are averaged. A score is a sparse dot product.
+one FTRL-proximal model each, in several passes over their rows; a weight is averaged over the shards that saw its
+slot, by their rows. A score is a sparse dot product.
 """
 
 from __future__ import annotations
@@ -88,16 +89,20 @@ class Leader:
 
 
 def train(documents: DataFrame, labels: DataFrame, setting: Setting = Setting()) -> np.ndarray:
-    """Averaged weights of all shards. Every labelled row outside the held fold is in one shard."""
+    """Averaged weights of all shards. Every labelled row outside the held fold is in one shard, once per epoch.
+
+    The passes are copies of the rows, sorted behind each other, so a shard holds one slice of texts and its model, however
+    long its texts are.
+    """
     rows = labelled(documents, labels, "quality").where(fold(F.col("doc_id"), setting.folds) != setting.held_fold)
     total = rows.select("doc_id").count()
     shards = max(1, -(-total // setting.rows_per_shard))
     order = F.xxhash64("doc_id")
-    dealt = rows.select("doc_id", "text", "label").repartition(shards, order).sortWithinPartitions(order)
+    passes = F.explode(F.sequence(F.lit(1), F.lit(setting.epochs))).alias("epoch")
+    dealt = rows.select("doc_id", "text", "label", passes).repartition(shards, order).sortWithinPartitions("epoch", order)
 
     def shard(batches):
-        leader, seen = Leader(setting), []
-        rows = 0
+        leader, rows = Leader(setting), 0
         for batch in batches:
             for start, stop in slices(batch):
                 piece = batch.slice(start, stop - start)
@@ -109,19 +114,18 @@ def train(documents: DataFrame, labels: DataFrame, setting: Setting = Setting())
                 rows += len(label)
         if rows:
             used = np.flatnonzero(leader.n)
-            weights = leader.weights(used)
-            kept = weights != 0
-            yield pa.RecordBatch.from_pydict({"slots": pa.array([used[kept].astype(np.int32).tobytes()], pa.binary()),
-                                              "weights": pa.array([(weights[kept] * rows).astype(np.float64).tobytes()], pa.binary()), "text": pa.array([""]),
+            yield pa.RecordBatch.from_pydict({"slots": pa.array([used.astype(np.int32).tobytes()], pa.binary()),
+                                              "weights": pa.array([(leader.weights(used) * rows).tobytes()], pa.binary()), "text": pa.array([""]),
                                               "rows": pa.array([rows], pa.int64())})
 
     def add(table, batch):
         for slots, weights, rows in zip(batch.column("slots"), batch.column("weights"), batch.column("rows")):
-            table[np.frombuffer(slots.as_py(), dtype=np.int32)] += np.frombuffer(weights.as_py())
-            table[-1] += rows.as_py()
+            at = np.frombuffer(slots.as_py(), dtype=np.int32)
+            table[at] += np.frombuffer(weights.as_py())
+            table[at + setting.slots] += rows.as_py()
 
-    table = summed(small_batches(dealt).mapInArrow(shard, "slots binary, weights binary, text string, rows long"), setting.slots + 1, "float64", add)
-    return (table[:-1] / max(table[-1], 1)).astype(np.float32)
+    table = summed(small_batches(dealt).mapInArrow(shard, "slots binary, weights binary, text string, rows long"), 2 * setting.slots, "float64", add)
+    return (table[:setting.slots] / np.maximum(table[setting.slots:], 1)).astype(np.float32)
 
 
 def score(documents: DataFrame, weights: np.ndarray, setting: Setting = Setting()) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,31 @@ def test_leader_updates_follow_the_closed_form():
     assert np.allclose(leader.z, z) and np.allclose(leader.n, n)
 
 
+def test_quality_training_passes_over_its_rows_and_averages_by_slot(spark, quality_corpus):
+    """One model per shard, trained by hand on the shard's rows in their order, epoch after epoch; each slot over the shards that saw it."""
+    documents, labels = quality_corpus
+    for rows_per_shard, epochs in ((10_000, 1), (10_000, 3), (150, 2)):
+        setting = quality.Setting(slots=1 << 14, rows_per_shard=rows_per_shard, epochs=epochs)
+        marked = documents.join(labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label")), "doc_id").where(
+            F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+        order = F.xxhash64(F.col("doc_id").cast("long"))
+        shards = -(-marked.count() // rows_per_shard)
+        rows = marked.select("text", "label", F.pmod(F.hash(order), F.lit(shards)).alias("shard"), order.alias("o")).orderBy("o").collect()
+        total, seen = np.zeros(setting.slots), np.zeros(setting.slots)
+        for shard in range(shards):
+            mine = [r for r in rows if r["shard"] == shard]
+            leader = quality.Leader(setting)
+            for _ in range(epochs):
+                for row in mine:
+                    slots, values, _ = quality.features(pa.array([row["text"]], pa.string()), setting)
+                    leader.learn(slots, values, row["label"])
+            used = np.flatnonzero(leader.n)
+            total[used] += leader.weights(used) * len(mine)
+            seen[used] += len(mine)
+        assert (shards > 1) == (rows_per_shard == 150)
+        assert np.allclose(quality.train(documents, labels, setting), total / np.maximum(seen, 1), atol=1e-5)
+
+
 @pytest.mark.parametrize("make", [h.odd, h.empty])
 def test_quality_of_odd_tables(spark, quality_corpus, make):
     documents, labels = quality_corpus
