@@ -14,8 +14,9 @@ from docweave.streaming import admission, jobs
 
 
 def _stream(spark, sf: str, table: str):
+    """A table as a stream; it may be one file or a folder of files. As a pattern the path may name either."""
     schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{table}.parque[t]")
 
 
 def requests(events):
