@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docweave.operators.index import top_per_query
-from docweave.operators.vectors import MIN_SCORE, SCORE_DIGITS, best_rows, finite_vectors
+from docweave.operators.vectors import MAX_SCORES, MIN_SCORE, SCORE_DIGITS, best_rows, finite_vectors
 from docweave.runtime import materialize
 
 MAX_PIVOTS = 1024
@@ -29,6 +29,8 @@ PART = 20_000
 # Vectors that the first round reads per question, times k.
 FIRST_ROUND = 4
 SLACK = 1e-7
+# A chosen cell repeats the question's vector, so it is counted as this many figures.
+VECTOR_COST = 64
 FOUND = "query_id long, chunk_id long, document_id long, score double"
 
 
@@ -48,6 +50,13 @@ def units(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return matrix, matrix / np.where(norms == 0, 1, norms)[:, None], norms
 
 
+def blocks(batch: pd.DataFrame, cost: int) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in blocks of at most ``MAX_SCORES`` figures, where a row costs ``cost`` of them."""
+    width = max(1, MAX_SCORES // max(1, cost))
+    for start in range(0, len(batch), width):
+        yield batch.iloc[start:start + width]
+
+
 def of_each_dimension(batches: Iterator[pd.DataFrame], known) -> Iterator[tuple[int, pd.DataFrame]]:
     for batch in batches:
         sizes = batch["dim"].to_numpy()
@@ -100,7 +109,7 @@ def cells_to_read(asked: DataFrame, index: CellIndex, enough: int, first: bool)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivots, (sizes, near, far, largest) = known.value
-        for size, batch in of_each_dimension(batches, pivots):
+        for size, batch in ((size, block) for size, batch in of_each_dimension(batches, pivots) for block in blocks(batch, len(pivots[size][1]) * VECTOR_COST)):
             start, centres = pivots[size]
             own = slice(start, start + len(centres))
             _, unit, norms = units(batch["vector"])
@@ -136,14 +145,16 @@ def read_cells(pairs: DataFrame, index: CellIndex, k: int, min_score: float | No
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = {name: [] for name in ("query_id", "chunk_id", "document_id", "score")}
         if len(left) and len(right):
-            scores = np.round(np.stack(right["vector"].to_numpy()).astype(np.float64) @ np.stack(left["vector"].to_numpy()).astype(np.float64).T, SCORE_DIGITS)
+            matrix = np.stack(right["vector"].to_numpy()).astype(np.float64)
             ids, documents = right["chunk_id"].to_numpy(), right["document_id"].to_numpy()
-            for column, query_id in enumerate(left["query_id"].to_numpy()):
-                own = scores[:, column]
-                good = own >= min_score if min_score is not None else slice(None)
-                score, chunk, document = best_rows(own[good], ids[good], documents[good], k)
-                for name, values in (("query_id", np.full(len(score), query_id)), ("chunk_id", chunk), ("document_id", document), ("score", score)):
-                    found[name].append(values)
+            for block in blocks(left, len(right)):
+                scores = np.round(matrix @ np.stack(block["vector"].to_numpy()).astype(np.float64).T, SCORE_DIGITS)
+                for column, query_id in enumerate(block["query_id"].to_numpy()):
+                    own = scores[:, column]
+                    good = own >= min_score if min_score is not None else slice(None)
+                    score, chunk, document = best_rows(own[good], ids[good], documents[good], k)
+                    for name, values in (("query_id", np.full(len(score), query_id)), ("chunk_id", chunk), ("document_id", document), ("score", score)):
+                        found[name].append(values)
         return pd.DataFrame({name: np.concatenate(values) if values else [] for name, values in found.items()})
 
     keys = ["cell", "part", "crowd"]
