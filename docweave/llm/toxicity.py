@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from docweave.llm.arrays import IN_WORD, fold, map_batches, row_sums, shared, slices, small_batches, words
 from docweave.llm.registry import query
 from docweave.llm.tables import labelled, summed
+from docweave.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,6 @@ class Setting:
     folds: int = 5
     held_fold: int = 0
     calibration_fold: int = 4
-    calibration_rows: int = 50_000
     prior: float = 1.0
 
     @property
@@ -81,26 +81,37 @@ def ratios(counts: np.ndarray, setting: Setting) -> np.ndarray:
     return np.concatenate([word_logs[1] - word_logs[0], (pair_logs[1] - pair_logs[0]).reshape(-1)]).astype(np.float32)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
-    """Weights of the columns of ``x`` and an intercept, by damped Newton steps with a normal prior on the weights.
-    Only the size of the (bounded) sample is held in the driver."""
-    x = np.column_stack([x, np.ones(len(x))])
-    penalty = np.full(x.shape[1], prior)
-    penalty[-1] = 1e-3
-    weights = np.zeros(x.shape[1])
-
-    def loss(w):
-        z = x @ w
-        return (np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum()
+def fit_logistic(rows: DataFrame, columns: list[str], label: str, prior: float) -> np.ndarray:
+    """Weights of ``columns`` and an intercept over all rows, by damped Newton steps with a normal prior on the weights.
 
+    Every step is one aggregate over the rows; the driver gets its sums only.
+    """
+    penalty = np.array([prior] * len(columns) + [1e-3])
+    inputs = [*(F.col(c) for c in columns), F.lit(1.0)]
+    pairs = [(i, j) for i in range(len(inputs)) for j in range(i + 1)]
+
+    def sums(w):
+        """Loss, gradient and second derivatives at weights ``w``."""
+        z = sum((x * F.lit(float(v)) for x, v in zip(inputs, w)), F.lit(0.0))
+        p, y = F.col("_p"), F.col(label)
+        found = rows.withColumn("_z", z).withColumn("_p", 1 / (1 + F.exp(-F.greatest(F.least("_z", F.lit(500.0)), F.lit(-500.0))))).agg(
+            F.sum(F.greatest("_z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_z"))) - y * F.col("_z")),
+            *(F.sum((p - y) * x) for x in inputs), *(F.sum(p * (1 - p) * inputs[i] * inputs[j]) for i, j in pairs)).first()
+        second = np.diag(penalty)
+        for (i, j), value in zip(pairs, found[1 + len(inputs):]):
+            second[i, j] += value
+            second[j, i] = second[i, j]
+        return found[0] + 0.5 * (penalty * w * w).sum(), np.array(found[1:1 + len(inputs)]) + penalty * w, second
+
+    weights = np.zeros(len(inputs))
+    loss, gradient, second = sums(weights)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -500, 500)))
-        gradient = x.T @ (p - y) + penalty * weights
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), gradient)
-        size = 1.0
-        while loss(weights - size * step) > loss(weights) and size > 1e-6:
+        step = np.linalg.solve(second, gradient)
+        size, made = 1.0, sums(weights - step)
+        while made[0] > loss and size > 1e-6:
             size /= 2
-        weights = weights - size * step
+            made = sums(weights - size * step)
+        weights, (loss, gradient, second) = weights - size * step, made
         if np.abs(step).max() < 1e-8:
             break
     return weights
@@ -120,9 +131,9 @@ def measures(column, table: np.ndarray, setting: Setting) -> np.ndarray:
 def train(documents: DataFrame, labels: DataFrame, setting: Setting = Setting()) -> tuple[np.ndarray, np.ndarray]:
     """Ratio table and weights of the logistic curve.
 
-    Folds by crc32(doc_id): ``held_fold`` is never read, all rows of the others are counted. At most
-    ``calibration_rows`` rows of ``calibration_fold``, those with the smallest id hash, fit the curve; they are measured
-    with the counts of the other folds, since a row knows its own expressions.
+    Folds by crc32(doc_id): ``held_fold`` is never read, all rows of the others are counted. All rows of
+    ``calibration_fold`` fit the curve; they are measured with the counts of the other folds, since a row knows its own
+    expressions.
     """
     rows = labelled(documents, labels, "toxic").withColumn("fold", fold(F.col("doc_id"), setting.folds))
     size = setting.size
@@ -141,14 +152,13 @@ def train(documents: DataFrame, labels: DataFrame, setting: Setting = Setting())
 
     def work(batch):
         found = measures(batch.column("text"), model.value, setting)
-        return [batch.column("doc_id"), found[:, 0], found[:, 1], batch.column("label")]
+        return [found[:, 0], found[:, 1], batch.column("label")]
 
-    sample = (map_batches(rows.where(own & (F.col("fold") != setting.held_fold)).select("doc_id", "text", "label"), work,
-                          "doc_id long, mean double, peak double, label int")
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(setting.calibration_rows).select("mean", "peak", "label").toPandas())
-    if sample["label"].nunique() < 2:
+    measured = materialize(map_batches(rows.where(own & (F.col("fold") != setting.held_fold)).select("text", "label"), work,
+                                       "mean double, peak double, label int"))
+    if measured.select("label").distinct().count() < 2:
         return table, np.array([1.0, 1.0, -1.0])
-    return table, fit_logistic(sample[["mean", "peak"]].to_numpy(), sample["label"].to_numpy(float), setting.prior)
+    return table, fit_logistic(measured, ["mean", "peak"], "label", setting.prior)
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], setting: Setting = Setting()) -> DataFrame:

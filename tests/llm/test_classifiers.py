@@ -60,6 +60,19 @@ def test_toxicity_counts_every_row_outside_the_held_out_fold(spark, toxic_corpus
     assert peak[0] > 1 and peak[0] > peak[1] + 1
 
 
+def test_toxicity_curve_is_fitted_on_every_calibration_row(spark):
+    """Three times 50,000 rows of two kinds; the weights follow the counts of all of them, by plain gradient sums."""
+    kinds = [(0.0, 0.5, 0, 60_000), (0.0, 0.5, 1, 15_000), (1.0, 2.0, 0, 5_000), (1.0, 2.0, 1, 70_000)]
+    rows = spark.createDataFrame(kinds, "mean double, peak double, label int, n int").select(
+        "mean", "peak", "label", F.explode(F.sequence(F.lit(1), "n")))
+    weights = toxicity.fit_logistic(rows, ["mean", "peak"], "label", 1.0)
+    table = np.array(kinds)
+    x = np.column_stack([table[:, :2], np.ones(4)])
+    error = table[:, 3] * (1 / (1 + np.exp(-x @ weights)) - table[:, 2])
+    assert np.allclose(x.T @ error + np.array([1.0, 1.0, 1e-3]) * weights, 0, atol=1e-5)
+    assert not hasattr(toxicity.Setting(), "calibration_rows")
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     setting = toxicity.Setting(word_slots=64, pair_slots=32, contexts=2)
     counts = np.random.default_rng(1).integers(0, 5, (2, setting.size))
