@@ -377,6 +377,23 @@ def test_walks_keep_edits_apart_from_other_texts():
     assert met(texts[1:] + texts[:1]) <= 0.2
 
 
+def test_every_place_of_a_text_is_looked_at():
+    """Grams at even and at odd places: a copy at either meets every gram of its item."""
+    stream = np.frombuffer(bytes(np.random.default_rng(4).integers(97, 123, 403, dtype=np.uint8)), dtype=np.uint8)
+    padded = np.concatenate([stream, np.zeros(8, dtype=np.uint8)])
+    grams = np.array([padded[n:n + 4].copy().view(np.uint32)[0] for n in range(len(stream))])
+    expected = ((grams * dc.FACTOR) >> np.uint32(32 - dc.SLOT_BITS)).astype(np.int32)
+    for size in (0, 1, 2, 3, 4, 5, 7, 402, 403):
+        whole = dc.gram_slots(stream[:size])
+        assert len(whole) == size and np.array_equal(whole[:max(0, size - 3)], expected[:max(0, size - 3)])
+    text = h.prose(5, 30)
+    items = dc.Items([(1, text)])
+    items.least[:] = len(items.base)  # every gram kept has to be met
+    for shift in (0, 1, 2, 3):
+        joined = np.frombuffer((" " * shift + text).encode(), dtype=np.uint8)
+        assert (0, shift) in set(zip(*(part.tolist() for part in items.placed(joined))))
+
+
 def test_windows_in_long_streams(spark):
     """A copy is found wherever it lies, also across the pieces a long text is read by."""
     item = h.prose("here", 30)
