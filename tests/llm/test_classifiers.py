@@ -73,6 +73,35 @@ def test_toxicity_curve_is_fitted_on_every_calibration_row(spark):
     assert not hasattr(toxicity.Setting(), "calibration_rows")
 
 
+def test_toxicity_curve_stands_still_although_sums_depend_on_the_order_of_rows(spark):
+    """On a cluster the parts of a sum arrive in any order, so its last digits differ; that noise must not keep the steps going."""
+    kinds = [(0.001, 0.5, 0, 9000), (0.001, 0.5, 1, 200), (0.002, 2.0, 0, 100), (0.002, 2.0, 1, 7000), (0.0, 1.0, 0, 800), (0.0, 1.0, 1, 900)]
+    rows = spark.createDataFrame(kinds, "mean double, peak double, label int, n int").select(
+        "mean", "peak", "label", F.explode(F.sequence(F.lit(1), "n")))
+    draw, passes = np.random.default_rng(7), []
+
+    class Arriving:
+        def __init__(self, frame):
+            self.frame = frame
+
+        def withColumn(self, *column):
+            return Arriving(self.frame.withColumn(*column))
+
+        def agg(self, *sums):
+            return Arriving(self.frame.agg(*sums))
+
+        def first(self):
+            passes.append(1)
+            return [value + 1e-7 * draw.standard_normal() for value in self.frame.first()]
+
+    weights = toxicity.fit_logistic(Arriving(rows), ["mean", "peak"], "label", 1.0)
+    table = np.array(kinds)
+    x = np.column_stack([table[:, :2], np.ones(len(kinds))])
+    error = table[:, 3] * (1 / (1 + np.exp(-x @ weights)) - table[:, 2])
+    assert np.allclose(x.T @ error + np.array([1.0, 1.0, 1e-3]) * weights, 0, atol=1e-5)
+    assert len(passes) <= 30
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     setting = toxicity.Setting(word_slots=64, pair_slots=32, contexts=2)
     counts = np.random.default_rng(1).integers(0, 5, (2, setting.size))
