@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from docweave.functions import text as tx
 from docweave.functions.matching import contained_terms
 from docweave.operators.mentions import mentioned_names
-from docweave.runtime import computed, materialize, salted_join
+from docweave.runtime import BROADCAST_LIMIT_BYTES, computed, estimated_bytes, materialize, salted_join
 
 # Column labels per role, time units and patterns of the definitions.
 COLUMN_LABELS = {
@@ -223,10 +223,22 @@ def parameter_lookup(questions: DataFrame, values: DataFrame) -> DataFrame:
     """Definitions of the bytes a question asks for; several records are all listed."""
     asked = questions.select("query_id", F.explode(F.array_distinct(tx.extract_all(
         "text", r"(?i)(?<![A-Za-z0-9_])Byte\s*(\d+)(?![A-Za-z0-9_.])", 1))).alias("_b")).select("query_id", F.col("_b").cast("int").alias("byte"))
-    found = asked.join(values, "byte", "left")
-    counts = found.groupBy("query_id", "byte").agg(F.count("definition").alias("records"))
-    return found.join(counts, ["query_id", "byte"]).withColumn("status", F.when(F.col("records") == 0, "none").when(
-        F.col("records") > 1, "several").otherwise("answer"))
+    # Records are counted per byte, and per question only the bytes it names; a question and a definition meet where the definition is.
+    sizes = values.groupBy("byte").agg(F.count("definition").alias("_definitions"), F.count(F.lit(1)).alias("_rows"))
+    times = asked.where("query_id IS NOT NULL AND byte IS NOT NULL").groupBy("query_id", "byte").agg(F.count(F.lit(1)).alias("_times"))
+    # A handful of bytes holds all definitions and all questions, so the join of counts is salted by question.
+    counted = materialize(salted_join(times, sizes, ["byte"], "left", "query_id"))
+    records = F.col("_times") * F.coalesce("_definitions", F.lit(0))
+    status = F.when(F.col("records") == 0, "none").when(F.col("records") > 1, "several").otherwise("answer")
+    counted = counted.withColumn("records", records).withColumn("status", status).withColumn("query_id", F.explode(F.array_repeat("query_id", F.col("_times").cast("int"))))
+    told = ["byte", "query_id", *(c for c in values.columns if c != "byte"), "records", "status"]
+    known = materialize(counted.where("_rows IS NOT NULL").select("byte", "query_id", "records", "status"))
+    if estimated_bytes(known) <= BROADCAST_LIMIT_BYTES:
+        found = values.join(F.broadcast(known), "byte")
+    else:
+        found = salted_join(values, known, ["byte"], "inner", "definition", salts=64)
+    unknown = counted.where("_rows IS NULL").select("byte", "query_id", *(F.lit(None).cast(values.schema[c].dataType).alias(c) for c in values.columns if c != "byte"), "records", "status")
+    return found.select(*told).unionByName(unknown).select("query_id", "byte", *told[2:])
 
 
 # --- definitions in running text ----------------------------------------------------------------
