@@ -9,15 +9,19 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from docweave.runtime import broadcast_if_small, materialize, ranked
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Rounds in which chunks settle side by side; after them the rest of a key is walked.
+SETTLING_ROUNDS = 2
 OUTPUT = "event_id long, key long, at_us long, admitted boolean, retry_after_s double, late boolean"
 
 
@@ -89,14 +93,56 @@ def chunked(events: DataFrame, chunk_rows: int, window_us: int) -> DataFrame:
     return numbered.withColumn("chunk", F.floor((F.col("rank") - 1) / chunk_rows)).drop("rank")
 
 
+def left_behind(times: np.ndarray, limit: int, window_us: int, held: list[int]) -> list[int]:
+    """The admitted times that sorted ``times`` leave behind; rejected events are jumped over, not visited."""
+    place = 0
+    while place < len(times):
+        if len(held) >= limit:
+            place = max(place, int(np.searchsorted(times, held[0] + window_us, "left")))
+            if place >= len(times):
+                break
+        at = int(times[place])
+        held = [*(h for h in held if h > at - window_us), at]
+        place += 1
+    return held
+
+
+def walked(wrong: DataFrame, placed: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """(key, segment, chunk, entry) from the first wrong chunk of every segment on, whose entry is the true one.
+
+    Chunks send only their sorted times, an array each. The chunks of a segment are read one after the other as a stream
+    with a state of ``limit`` times, because each starts where the one before ended.
+    """
+    begun = materialize(wrong.groupBy("key", "segment").agg(F.min("chunk").alias("_first"), F.min_by("entry", "chunk").alias("_entry")))
+    rest = placed.join(broadcast_if_small(begun), ["key", "segment"]).where(F.col("chunk") >= F.col("_first"))
+    times = rest.groupBy("key", "segment", "chunk").agg(
+        F.array_sort(F.collect_list("at_us")).alias("times"), F.first(F.when(F.col("chunk") == F.col("_first"), F.col("_entry"))).alias("_entry"))
+    ordered = times.repartition("key", "segment").sortWithinPartitions("key", "segment", "chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            entries = []
+            for times, entry in zip(batch.column("times"), batch.column("_entry")):
+                times = times.values.to_numpy()
+                if entry.is_valid:
+                    held = entry.as_py()
+                entries.append([h for h in held if h > times[0] - window_us])
+                held = left_behind(times, limit, window_us, entries[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("key", "segment", "chunk")), pa.array(entries, pa.list_(pa.int64()))],
+                                             names=["key", "segment", "chunk", "entry"])
+
+    return ordered.mapInArrow(run, "key long, segment long, chunk long, entry array<long>")
+
+
 def admission_dense(events: DataFrame, limit: int, window_s: int, chunk_rows: int = 50_000) -> DataFrame:
     """``admission_batch`` for keys without event-free windows, spread over many tasks.
 
     A decision depends on those before it, so chunks of a key start from an assumed state: first all run from an
     empty one, then each takes the state in which the chunk before it ended and runs again if that differs from
     what it had assumed. Once no chunk differs every one started from its true state, and a last pass decides. Chunks
-    soon forget how they started unless the limit binds without a pause; at worst a round settles one
-    chunk of each key, never fewer, so the rounds end.
+    soon forget how they started unless the limit binds without a pause; what two such rounds leave open is
+    walked once, over the times alone, so the number of rounds does not grow with the chunks.
     """
     window_us = window_s * 1_000_000
     placed = materialize(chunked(segments(events.select("event_id", "key", "at_us"), window_us), chunk_rows, window_us))
@@ -119,7 +165,7 @@ def admission_dense(events: DataFrame, limit: int, window_s: int, chunk_rows: in
     starts = materialize(placed.groupBy(*keys).agg(F.min("at_us").alias("first_at")))
     entries = starts.withColumn("entry", F.array().cast("array<bigint>"))
     ends = materialize(passed(entries, placed, False))
-    while True:
+    for number in count():
         # What the chunk before left behind, as far as it still counts at the first event.
         left = F.coalesce(F.lag("ended").over(before), F.array().cast("array<bigint>"))
         follow = starts.join(ends, keys).withColumn("left", left).select(
@@ -128,6 +174,9 @@ def admission_dense(events: DataFrame, limit: int, window_s: int, chunk_rows: in
         wrong = compared.where("left <> entry").select(*keys, F.col("left").alias("entry"))
         if not wrong.limit(1).count():
             return passed(entries, placed, True)
+        if number == SETTLING_ROUNDS:
+            true = materialize(walked(wrong, placed, limit, window_us))
+            return passed(entries.select(*keys, "entry").join(true, keys, "left_anti").unionByName(true), placed, True)
         again = passed(wrong, placed.join(broadcast_if_small(wrong.select(*keys)), keys, "left_semi"), False)
         ends = materialize(ends.join(wrong, keys, "left_anti").unionByName(again))
         entries = materialize(compared.select(*keys, F.col("left").alias("entry")).join(starts, keys))
