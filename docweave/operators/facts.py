@@ -182,8 +182,8 @@ def byte_blocks(chunks: DataFrame) -> DataFrame:
         "chunk_id", "position", F.col("_b.byte").alias("byte"), F.col("_b.text").alias("definition"))
 
 
-def _single_number(text: Column, pattern: str, drop_revert: bool = False) -> Column:
-    """The one value all matches agree on; NULL when negated, open-ended or different."""
+def _single_number(rows: DataFrame, name: str, text: Column, pattern: str, drop_revert: bool = False) -> DataFrame:
+    """Adds the one value all matches agree on; NULL when negated, open-ended or different. Matches and their values are found once a row."""
     matches = F.arrays_zip(tx.extract_all(text, pattern, 1).alias("clause"), tx.extract_all(text, pattern, 2).alias("token"),
                            tx.extract_all(text, pattern, 3).alias("rest"))
 
@@ -193,9 +193,10 @@ def _single_number(text: Column, pattern: str, drop_revert: bool = False) -> Col
         bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(m["token"], "[);；，:：。]+$", ""), r"\.$", ""), "[);；，:：。]+$", "")
         return F.when(~clause.rlike(NEGATION) & ended & bare.rlike(f"^{NUMBER}$"), bare)
 
-    values = F.transform(matches, value)
+    found = computed(computed(rows, "_matches", matches), "_values", F.transform("_matches", value))
+    values = F.col("_values")
     agreed = (F.size(values) > 0) & F.forall(values, lambda v: v.isNotNull()) & (F.size(F.array_distinct(values)) == 1)
-    return F.when(agreed, values[0])
+    return computed(found, name, F.when(agreed, values[0])).drop("_matches", "_values")
 
 
 def parameter_values(blocks: DataFrame) -> DataFrame:
@@ -204,7 +205,6 @@ def parameter_values(blocks: DataFrame) -> DataFrame:
     units = tx.extract_all(text, UNIT, 1)
     before = F.regexp_extract(text, rf"(?is)^(.*?)\bin\s+(?:{TIME_UNITS})\b", 1)
     unit = F.when((F.size(units) == 1) & ~before.rlike(r"(?i)\b(?:not|no|never|without)\b|不|非"), units[0])
-    literal = _single_number(text, DEFAULT, True)
     name, timed = F.regexp_extract(text, TIMED_DEFAULT, 1), F.lower(F.regexp_extract(text, TIMED_DEFAULT, 2))
     known = F.col("_literal")
     number = F.when(known.rlike("(?i)0x"), F.conv(F.regexp_replace(known, "(?i)^[+]?0x", ""), 16, 10)).otherwise(known)
@@ -212,18 +212,20 @@ def parameter_values(blocks: DataFrame) -> DataFrame:
     factor = F.when(timed.startswith("tenth"), 0.1).when(timed.isin("ms") | timed.startswith("millisecond"), 0.001).otherwise(1.0).cast("decimal(6,4)")
     convertible = (F.size(units) == 1) & text.rlike(TIMED_DEFAULT) & ~name.rlike(NEGATION) & (F.length(known) <= 32) & ~known.startswith("-")
     control = F.regexp_replace(F.regexp_replace(text, rf"(?is)\s+in\s+(?:{TIME_UNITS})\b.*$", ""), r"(?is)\s*\(must\s+be.*$", "")
-    rows = computed(blocks, "_literal", literal).withColumns({"control": F.regexp_replace(control, r"^[ .;；]+|[ .;；]+$", ""), "limit_above": _single_number(text, LIMIT),
+    numbered = _single_number(_single_number(blocks, "_literal", text, DEFAULT, True), "_limit", text, LIMIT)
+    rows = numbered.withColumns({"control": F.regexp_replace(control, r"^[ .;；]+|[ .;；]+$", ""), "limit_above": F.col("_limit"),
                                "default_value": F.col("_literal"), "unit": unit, "_number": F.when(convertible, number), "_factor": factor})
     seconds = (exact * F.col("_factor")).cast("decimal(38,12)")
     plain = lambda value: F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return rows.withColumn("default_seconds", plain(seconds)).withColumn("default_ms", plain((seconds * 1000).cast("decimal(38,9)"))).drop("_number", "_factor", "_literal")
+    return rows.withColumn("default_seconds", plain(seconds)).withColumn("default_ms", plain((seconds * 1000).cast("decimal(38,9)"))).drop("_number", "_factor", "_literal", "_limit")
 
 
 def parameter_lookup(questions: DataFrame, values: DataFrame) -> DataFrame:
     """Definitions of the bytes a question asks for; several records are all listed."""
     asked = questions.select("query_id", F.explode(F.array_distinct(tx.extract_all(
         "text", r"(?i)(?<![A-Za-z0-9_])Byte\s*(\d+)(?![A-Za-z0-9_.])", 1))).alias("_b")).select("query_id", F.col("_b").cast("int").alias("byte"))
-    # Records are counted per byte, and per question only the bytes it names; a question and a definition meet where the definition is.
+    # The patterns behind the definitions are the costly part, so they are read once. Records are counted per byte, and per question only the bytes it names; a question and a definition meet where the definition is.
+    values = materialize(values)
     sizes = values.groupBy("byte").agg(F.count("definition").alias("_definitions"), F.count(F.lit(1)).alias("_rows"))
     times = asked.where("query_id IS NOT NULL AND byte IS NOT NULL").groupBy("query_id", "byte").agg(F.count(F.lit(1)).alias("_times"))
     # A handful of bytes holds all definitions and all questions, so the join of counts is salted by question.
