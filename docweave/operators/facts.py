@@ -277,10 +277,13 @@ def compact(value) -> Column:
 
 
 def bigram_score(question, text) -> Column:
-    """Distinct character pairs of the question that the text holds."""
-    query, body = compact(question), compact(text)
-    pairs = F.when(F.length(query) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(query) - 1), lambda i: F.substring(query, i, F.lit(2)))))
-    return F.coalesce(F.size(F.filter(pairs, lambda p: body.contains(p))), F.lit(0))
+    """Distinct character pairs of the question that the text holds. Both are made compact once, not for every pair."""
+    def score(query, body):
+        pairs = F.when(F.length(query) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(query) - 1), lambda i: F.substring(query, i, F.lit(2)))))
+        return F.coalesce(F.size(F.filter(pairs, lambda p: body.contains(p))), F.lit(0))
+
+    both = F.array(F.struct(compact(question).alias("query"), compact(text).alias("body")))
+    return F.transform(both, lambda x: score(x["query"], x["body"]))[0]
 
 
 def _edge(label: Column) -> Column:
@@ -335,6 +338,8 @@ def timer_definitions(chunks: DataFrame) -> DataFrame:
 
 def test_rows(cells: DataFrame) -> DataFrame:
     """One record per test row: item, input, precondition, step, verification and its single command."""
+    # The cells are parsed once, for the header and for the rows.
+    cells = materialize(cells)
     label = F.lower(tx.strip("value"))
     role = F.coalesce(*[F.when(label.isin(*labels), F.lit(name)) for name, labels in TEST_ROLES.items()])
     header = cells.where(F.col("row") == 1).select("document_id", "sheet", "column", role.alias("_role")).where(F.col("_role").isNotNull()).distinct()
@@ -352,10 +357,11 @@ def test_rows(cells: DataFrame) -> DataFrame:
 def test_commands(questions: DataFrame, rows: DataFrame) -> DataFrame:
     """Command of the test item a question names: equal commands corroborate, different ones stay open."""
     squeezed = lambda value: F.lower(F.regexp_replace(tx.as_column(value), r"(?U)[\W_]", ""))
-    items = rows.where(F.col("command").isNotNull()).withColumn("term", squeezed("item")).where("term <> ''")
+    # The items give the terms and are joined with the hits.
+    items = materialize(rows.where(F.col("command").isNotNull()).withColumn("term", squeezed("item")).where("term <> ''"))
     asked = questions.select("query_id", squeezed("text").alias("_q"), F.col("text").alias("question"))
     hits = contained_terms(asked, "query_id", "_q", items.select("term")).join(items, "term").join(asked, "query_id")
-    scored = hits.withColumn("score", bigram_score("question", F.concat_ws(" ", "item", "input", "precondition", "step", "command")))
+    scored = computed(hits, "score", bigram_score("question", F.concat_ws(" ", "item", "input", "precondition", "step", "command")))
     per_command = scored.groupBy("query_id", F.lower("command").alias("_c")).agg(
         F.max_by(F.struct("command", "document_id", "sheet", "row", "chunk_id"), F.struct("score", -F.col("chunk_id"))).alias("_b"),
         F.max("score").alias("score"), F.count(F.lit(1)).alias("records"))

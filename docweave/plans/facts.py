@@ -153,7 +153,7 @@ def timer_definitions(spark, sf):
 
 def test_cells(f: Frames):
     """A test sheet per brand: items named by the part, commands by its type; some rows hold two commands."""
-    rows = f.table("part").select(
+    rows = f.parts().select(
         F.col("p_brand").alias("sheet"), (F.col("p_partkey") + 2).alias("row"), F.array(
             F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")), F.concat(F.lit("发送指令："), "p_type"), F.lit("READY"),
             F.when(F.col("p_partkey") % 6 == 0, "发送指令：OTHER").otherwise("无")).alias("values"))
