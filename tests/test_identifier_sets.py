@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from docweave import runtime
 from docweave.operators import access, index
 
 
@@ -53,3 +54,29 @@ def test_repeated_chunks_and_terms_count_twice(spark):
     assert index._repeated(index.weighted_terms(terms.unionAll(terms), index.build_index(chunks)), index.build_index(chunks), None)
     assert index._repeated(index.weighted_terms(terms, index.build_index(chunks)), index.build_index(chunks.unionAll(chunks)), None)
     assert not index._repeated(index.weighted_terms(terms, index.build_index(chunks)), index.build_index(chunks), None)
+
+
+def test_sets_meet_postings_in_slices(spark, monkeypatch):
+    """Sets of terms beyond the broadcast limit come in several slices, postings in several parts; the rows are the same."""
+    chunks, terms, _ = tables(spark)
+    built = index.build_index(chunks)
+    made = rows(index.identifier_search(terms, built, 6))
+    cut = []
+    monkeypatch.setattr(index, "bounded_slices", lambda *a: cut.append(runtime.bounded_slices(*a, limit=1500)) or cut[-1])
+    for limit in ("BROADCAST_LIMIT_BYTES", "TASK_ROWS", "TASK_HITS"):
+        monkeypatch.setattr(index, limit, 20)
+    assert made == rows(index.identifier_search(terms, built, 6)) and len(cut[-1]) > 1
+
+
+def test_terms_live_without_listing_hits(spark, monkeypatch):
+    chunks, terms, _ = tables(spark)
+    terms = terms.unionAll(terms)
+    built = index.build_index(chunks)
+    pairs = lambda frame: sorted(map(tuple, frame.collect()))
+    listed = pairs(index.live_terms(index.term_hits(terms, built)))
+
+    def refuse(*_):
+        raise AssertionError("all hits are listed")
+
+    monkeypatch.setattr(index, "term_hits", refuse)
+    assert pairs(index.live_question_terms(terms, built)) == listed and listed
