@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from docweave.functions import text as tx
 from docweave.functions.matching import contained_terms
 from docweave.operators.mentions import mentioned_names
-from docweave.runtime import BROADCAST_LIMIT_BYTES, computed, estimated_bytes, materialize, salted_join
+from docweave.runtime import BROADCAST_LIMIT_BYTES, computed, estimated_bytes, materialize, measured_side, salted_join
 
 # Column labels per role, time units and patterns of the definitions.
 COLUMN_LABELS = {
@@ -360,13 +360,13 @@ def test_commands(questions: DataFrame, rows: DataFrame) -> DataFrame:
     # The items give the terms and are joined with the hits.
     items = materialize(rows.where(F.col("command").isNotNull()).withColumn("term", squeezed("item")).where("term <> ''"))
     asked = questions.select("query_id", squeezed("text").alias("_q"), F.col("text").alias("question"))
-    hits = contained_terms(asked, "query_id", "_q", items.select("term")).join(items, "term").join(asked, "query_id")
+    hits = contained_terms(asked, "query_id", "_q", items.select("term")).join(measured_side(items), "term").join(measured_side(asked), "query_id")
     scored = computed(hits, "score", bigram_score("question", F.concat_ws(" ", "item", "input", "precondition", "step", "command")))
     per_command = scored.groupBy("query_id", F.lower("command").alias("_c")).agg(
         F.max_by(F.struct("command", "document_id", "sheet", "row", "chunk_id"), F.struct("score", -F.col("chunk_id"))).alias("_b"),
         F.max("score").alias("score"), F.count(F.lit(1)).alias("records"))
     total = per_command.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    return per_command.join(total, "query_id").select(
+    return per_command.join(total.hint("merge"), "query_id").select(
         "query_id", "_b.*", "score", "records", F.when(F.col("_n") == 1, "answer").otherwise("unresolved").alias("status"))
 
 
